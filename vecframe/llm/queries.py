@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecframe.llm._common import table
+from vecframe.llm.knn import knn
 from vecframe.llm.spam import spam_pages, spam_shapes
 from vecframe.llm.split import split_oversized
 from vecframe.llm.tokenize import encode_corpus
@@ -22,6 +23,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "doc_entities"), table(spark, d, "split_limits"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = knn(table(spark, d, "doc_entities"), table(spark, d, "knn_probes").select("id"))
+    return near.select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Ten neighbours of every record whose id is divisible by 100, among all records."""
+    entities = table(spark, d, "doc_entities")
+    return knn(entities, entities.where("id % 100 = 0").select("id"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -35,7 +47,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
+    return {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
 
 
 def oracle_sql() -> dict[str, str]:
