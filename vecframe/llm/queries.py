@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecframe.llm._common import table
+from vecframe.llm.cluster import cluster, components
 from vecframe.llm.knn import knn
 from vecframe.llm.spam import spam_pages, spam_shapes
 from vecframe.llm.split import split_oversized
@@ -34,6 +35,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn(entities, entities.where("id % 100 = 0").select("id"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return components(table(spark, d, "doc_entities"), 0.68)
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster(table(spark, d, "doc_entities"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -47,7 +56,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
+    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
 
 
 def oracle_sql() -> dict[str, str]:
