@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from vecframe.llm._common import table
 from vecframe.llm.cluster import cluster, components
 from vecframe.llm.knn import knn
+from vecframe.llm.neardup import near_duplicates
 from vecframe.llm.spam import spam_pages, spam_shapes
 from vecframe.llm.split import split_oversized
+from vecframe.llm.truncation import truncated, truncation_by_source
 from vecframe.llm.tokenize import encode_corpus
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "doc_entities"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     cut = split_oversized(table(spark, d, "doc_entities"), table(spark, d, "split_limits"), with_text=False)
     return cut.where("piece = 1").select("id")
@@ -35,6 +41,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn(entities, entities.where("id % 100 = 0").select("id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "doc_entities")).where("cut").select("id", "field_name")
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_by_source(table(spark, d, "doc_entities"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components(table(spark, d, "doc_entities"), 0.68)
 
@@ -56,7 +70,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
 
 
 def oracle_sql() -> dict[str, str]:

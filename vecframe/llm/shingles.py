@@ -73,10 +73,10 @@ def word_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64) * _M1)
 
 
-def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], width: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word shingles of each text.
 
-    Returns ``(hashes, doc)``: 64-bit shingle hashes, ascending within a document, and the index of the
+    Returns ``(hashes, doc)``: shingle hashes of ``bits`` bits, ascending within a document, and the index of the
     document each belongs to, ascending. Words are lower-cased runs of letters and digits; a text of
     fewer than ``width`` words has no shingle.
     """
@@ -94,6 +94,13 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h * _M1 + words[i : i + n] + np.uint64(i + 1))
     same = doc[:n] == doc[width - 1 :]
     h, doc = h[same], doc[:n][same]
+    h = h >> np.uint64(64 - bits)
+    if bits + int(len(texts)).bit_length() <= 64:
+        both = np.sort((doc.astype(np.uint64) << np.uint64(bits)) | h)
+        keep = np.ones(len(both), dtype=bool)
+        keep[1:] = both[1:] != both[:-1]
+        both = both[keep]
+        return both & np.uint64((1 << bits) - 1), (both >> np.uint64(bits)).astype(np.int64)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), dtype=bool)
