@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecframe.llm._common import table
 from vecframe.llm.cluster import cluster, components
 from vecframe.llm.knn import knn
+from vecframe.llm.mixing import Mix
 from vecframe.llm.neardup import near_duplicates
 from vecframe.llm.spam import spam_pages, spam_shapes
 from vecframe.llm.split import split_oversized
@@ -61,6 +62,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).choice()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages(table(spark, d, "documents")).where("spam").select("doc_id")
 
@@ -70,7 +79,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_shapes": p8_shapes}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_clusters": p5_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shapes": p8_shapes}
 
 
 def oracle_sql() -> dict[str, str]:
