@@ -67,3 +67,12 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a few numbers each that may be broadcast; beyond it the join is left to the planner.
+BROADCAST_ROWS = 200_000
+
+
+def hinted(written: Stage) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``BROADCAST_ROWS`` (they are counted)."""
+    return F.broadcast(written.df) if written.df.count() <= BROADCAST_ROWS else written.df

@@ -1,8 +1,9 @@
 """Groups of near-duplicate records: a set-similarity join over word shingles.
 
 The shingles of a record are ordered rarest first, by their document frequency over the whole table. Two sets of
-similarity ``t`` share a shingle in their prefixes of ``n - ceil(t n) + 1``. So only prefix shingles that occur in two
-records or more are joined. A candidate passes the length filter, the positional filter (the place of the
+similarity ``t`` share a shingle in their prefixes of ``n - ceil(t n) + 1``, and ``l`` shingles
+in prefixes longer by ``l - 1``. So only prefix shingles that occur in two records or more are joined, and pairs are
+kept that share ``LEAST`` of them. A candidate passes the length filter, the positional filter (the place of the
 shingle in both orders bounds the overlap) and the suffix filter (a bitmap of the shingles behind it bounds how many
 can be common), and each pair left is verified once, on the whole sets.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.llm._common import Stage
+from vecframe.llm._common import Stage, hinted
 from vecframe.llm.cluster import boruvka
 from vecframe.llm.knn import exact_cosines
 from vecframe.llm.shingles import shingle_sets
@@ -34,6 +35,8 @@ from vecframe.llm.vectors import angles, block, fit_cells, fresh, pack, unit, un
 WIDTH, THRESHOLD, COSINE = 3, 0.5, 0.98
 #: Records of a block; shingles of a range.
 BLOCK_ROWS, RANGE_SHINGLES = 4096, 1 << 18
+#: Prefix shingles that a pair must share (fewer for sets too small for that).
+LEAST = 8
 #: Bits of a record's shingle bitmap.
 BITMAP = 128
 #: Records of a group whose pairs are tested in one task; larger groups are cut to chunks of this.
@@ -98,27 +101,55 @@ def _group_pairs(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
 _PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "u1", (BITMAP // 8,))])
 
 
-def _group_rows(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(size: np.ndarray, t: float) -> np.ndarray:
+    """Prefix shingles that a set of ``size`` must share with a similar one."""
+    return np.minimum(LEAST, _need(size, t))
+
+
+def _pack_rows(rows: np.ndarray) -> bytes:
+    """Compressed by column; the bytes of numbers lie apart, so their leading zeros cost nothing."""
+    columns = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in ("low", "id", "size", "place")]
+    return _zip(np.frombuffer(b"".join(columns), dtype=np.uint8)) + rows["bits"].tobytes()
+
+
+def _unpack_rows(blob: bytes, n: int) -> np.ndarray:
+    bits = n * (BITMAP // 8)
+    widths = [_PACKED[c].itemsize for c in ("low", "id", "size", "place")]
+    raw, at = _unzip(blob[: len(blob) - bits], n * sum(widths), np.uint8), 0
+    rows = np.zeros(n, dtype=_PACKED)
+    for c, w in zip(("low", "id", "size", "place"), widths, strict=True):
+        rows[c] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(_PACKED[c]).ravel()
+        at += n * w
+    rows["bits"] = np.frombuffer(blob[len(blob) - bits :], dtype=np.uint8).reshape(n, -1)
+    return rows
+
+
+def _group_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed rows ordered by shingle, size and id; start and size of every shingle's group."""
-    rows = np.frombuffer(b"".join(blobs), dtype=_PACKED)
+    rows = np.concatenate([_unpack_rows(b, n) for b, n in zip(pdf.blob, pdf.n, strict=True)]) if len(pdf) else np.zeros(0, _PACKED)
     rows = rows[np.lexsort((rows["id"], rows["size"], rows["low"]))]
     low = rows["low"]
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
     return rows, first, np.diff(np.r_[first, len(low)]).astype(np.int64)
 
 
-def _pair_frame(got: list[tuple[np.ndarray, np.ndarray]], hot: int) -> pd.DataFrame:
-    a = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-    b = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-    p = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    out = pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
-    return pd.concat([out, pd.DataFrame({"a": [-1], "b": [-1]})]) if hot else out
+def _pair_frame(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Pairs with how many shingles they were found by, and how many they must share (0: enough by itself)."""
+    if not got:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "found": np.zeros(0, np.int32), "least": np.zeros(0, np.int32)})
+    a, b, least = (np.concatenate([g[i] for g in got]) for i in range(3))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((least, b, a))
+    a, b, least = a[order], b[order], least[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": a[first], "b": b[first], "found": np.diff(np.r_[first, len(a)]).astype(np.int32), "least": least[first].astype(np.int32)})
 
 
 def _first_pairs(pdf: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
     """Candidates of one range: all of small groups, those with the first record of larger ones, and whether any was."""
-    rows, first, sizes = _group_rows(pdf.blob)
+    rows, first, sizes = _group_rows(pdf)
     rec, size, place, bits = rows["id"], rows["size"], rows["place"], rows["bits"]
+    least = _shared(size.astype(np.int64), t)
     got = []
     small = (sizes > 1) & (sizes <= group)
     # So many pairs at once that they fit in memory.
@@ -126,18 +157,22 @@ def _first_pairs(pdf: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
     for part in np.unique(turn):
         a, b = _group_pairs(first[small][turn == part], sizes[small][turn == part])
         ok = _candidates(rec, size, place, bits, a, b, t)
-        got.append((rec[a[ok]], rec[b[ok]]))
+        a, b = a[ok], b[ok]
+        got.append((rec[a], rec[b], np.minimum(least[a], least[b])))
     large = np.flatnonzero(sizes > group)
     for g in large:
         b = np.arange(first[g] + 1, first[g] + sizes[g])
         ok = _candidates(rec, size, place, bits, np.full(len(b), first[g]), b, t)
-        got.append((np.full(int(ok.sum()), rec[first[g]]), rec[b[ok]]))
-    return _pair_frame(got, len(large))
+        got.append((np.full(int(ok.sum()), rec[first[g]]), rec[b[ok]], np.zeros(int(ok.sum()), np.int64)))
+    if len(large):
+        # A mark that a second pass is needed.
+        got.append((np.array([-1]), np.array([-1]), np.array([0])))
+    return _pair_frame(got)
 
 
 def _cross_pairs(pdf: pd.DataFrame, labels: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
     """Candidates of the larger groups of one range between records of different components."""
-    rows, first, sizes = _group_rows(pdf.blob)
+    rows, first, sizes = _group_rows(pdf)
     known = pd.Series(labels.label.to_numpy(), index=labels.id.to_numpy())
     got = []
     for g in np.flatnonzero(sizes > group):
@@ -152,8 +187,8 @@ def _cross_pairs(pdf: pd.DataFrame, labels: pd.DataFrame, t: float, group: int)
                 b = np.arange(at, min(len(own), at + (1 << 16)))
                 b = b[(label[b] != label[i]) & ((label[b] == main) | (b > i))]
                 ok = _candidates(rec, size, place, bits, np.full(len(b), i), b, t)
-                got.append((np.full(int(ok.sum()), rec[i]), rec[b[ok]]))
-    return _pair_frame(got, 0)
+                got.append((np.full(int(ok.sum()), rec[i]), rec[b[ok]], np.zeros(int(ok.sum()), np.int64)))
+    return _pair_frame(got)
 
 
 def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int = GROUP) -> list[Stage]:
@@ -195,7 +230,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
     def prefixes(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Prefix shingles by range of hash, packed: low bits, record, size, place in the order, bitmap."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"range": np.zeros(0, np.int32), "blob": []})
+            return pd.DataFrame({"range": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "blob": []})
         recs = _once(left)
         ids, n = recs.id.to_numpy(), len(recs)
         h, doc = _sets(recs.text.tolist(), width, range_bits)
@@ -207,7 +242,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         order = np.lexsort((f, doc))
         sh, sf, sd = h[order], f[order], doc[order]
         place = np.arange(len(sh)) - (np.cumsum(size) - size)[sd]
-        prefix = (place < (size - _need(size, t) + 1)[sd]) & (sf > 1)
+        prefix = (place < (size - _need(size, t) + _shared(size, t))[sd]) & (sf > 1)
         bits = _bitmaps(h, doc, n)
         ph, pd_, pp = sh[prefix], sd[prefix], place[prefix]
         by = np.argsort(ph, kind="stable")
@@ -216,23 +251,25 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         packed["low"], packed["id"], packed["size"], packed["place"], packed["bits"] = ph & _LOW, ids[pd_], size[pd_], pp, bits[pd_]
         edge = np.searchsorted(ph, edges_of_ranges)
         some = np.flatnonzero(edge[1:] > edge[:-1])
-        return pd.DataFrame({"range": some.astype(np.int32), "blob": [packed[edge[r] : edge[r + 1]].tobytes() for r in some]})
+        return pd.DataFrame({"range": some.astype(np.int32), "n": (edge[some + 1] - edge[some]).astype(np.int32), "blob": [_pack_rows(packed[edge[r] : edge[r + 1]]) for r in some]})
 
-    packed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, blob binary")
-    found = Stage(packed.groupBy("range").applyInPandas(lambda pdf: _first_pairs(pdf, t, group), "a bigint, b bigint").distinct())
+    pair_schema = "a bigint, b bigint, found int, least int"
+    packed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, n int, blob binary")
+    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _first_pairs(pdf, t, group), pair_schema)
+    found = Stage(per_range.groupBy("a", "b").agg(F.sum("found").alias("found"), F.min("least").alias("least")).where("found >= least").select("a", "b"))
     links = [_verified(df, found.df.where("a <> b"), width, t)]
     if found.df.where("a = -1 and b = -1").limit(1).count():
         forest, cuts = boruvka(links[0].df, (0.0,))
         empty = df.sparkSession.createDataFrame([], "id bigint, label bigint")
         labels = cuts[0].df if cuts else empty
         # The records of a range, with what they are linked to so far.
-        in_range = packed.select("range", "blob")
+        in_range = packed.select("range", "n", "blob")
         who = in_range.mapInPandas(_record_ranges, "range int, id bigint").distinct().join(labels, "id").select("range", "id", "label")
 
         def cross(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _cross_pairs(left, right, t, group)
 
-        more = Stage(in_range.groupBy("range").cogroup(who.groupBy("range")).applyInPandas(cross, "a bigint, b bigint").distinct())
+        more = Stage(in_range.groupBy("range").cogroup(who.groupBy("range")).applyInPandas(cross, pair_schema).select("a", "b").distinct())
         links.append(_verified(df, more.df, width, t))
         more.drop()
         for s in (*forest, *cuts):
@@ -243,8 +280,8 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
 
 def _record_ranges(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
-        for r, blob in zip(pdf.range, pdf.blob, strict=True):
-            ids = np.unique(np.frombuffer(blob, dtype=_PACKED)["id"])
+        for r, n, blob in zip(pdf.range, pdf.n, pdf.blob, strict=True):
+            ids = np.unique(_unpack_rows(blob, n)["id"])
             yield pd.DataFrame({"range": np.full(len(ids), r, np.int32), "id": ids})
 
 
@@ -271,9 +308,8 @@ def _verified(df: DataFrame, pairs: DataFrame, width: int, t: float) -> Stage:
             keep = pa.array(np.flatnonzero(sim >= 0))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sim).take(keep)], names=["a", "b", "sim"])
 
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    sets = texts.mapInArrow(pack_sets, "id bigint, set binary")
+    ends = Stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = Stage(df.join(hinted(ends), "id", "left_semi").mapInArrow(pack_sets, "id bigint, set binary").dropDuplicates(["id"])).df
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     return Stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint, sim float"))
 
@@ -374,8 +410,8 @@ def near_duplicates(
     # Equal texts are represented by one of them; the hash of a text stands for it in narrow rows.
     narrow = rows.where(has_set).select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("h2"))
     first = narrow.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("h1", "h2", "rep")
-    copies = Stage(narrow.join(first, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct().withColumn("sim", F.lit(1.0).cast("float")))
-    single = rows.where(has_set).select("id", "text").join(copies.df.select(F.col("b").alias("id")), "id", "left_anti")
+    copies = Stage(narrow.join(hinted(Stage(first)), ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct().withColumn("sim", F.lit(1.0).cast("float")))
+    single = rows.where(has_set).select("id", "text").join(hinted(copies).select(F.col("b").alias("id")), "id", "left_anti")
     n_rows = df.count()
     stages = [copies, *content_links(single, n_rows, width, threshold, group)]
     if vector:

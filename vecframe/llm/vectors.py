@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm._common import Stage, hinted
+
 #: Rows that the centres are fitted on, and most centres: what is sent to the driver and to all executors is
 #: bounded by these, whatever the table's size.
 SAMPLE_ROWS = 16384
@@ -20,12 +22,13 @@ MOST_CENTRES = 1024
 def fresh(df: DataFrame, key: str, version: str | None) -> DataFrame:
     """Rows without those that a later ``version`` of their key replaces; ties stay.
 
-    Only keys that occur more than once take part in the join, so the wide rows are shuffled only if those are many.
+    Only keys that occur more than once take part in the join; they are counted, and the wide rows are shuffled only
+    if those are too many to broadcast.
     """
     df = df.where(F.col(key).isNotNull())
     if version is None:
         return df
-    again = df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.max(version).alias("_last")).where("_n > 1").drop("_n")
+    again = hinted(Stage(df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.max(version).alias("_last")).where("_n > 1").drop("_n")))
     return df.join(again, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | (F.col(version) == F.col("_last"))).drop("_k", "_last")
 
 
