@@ -30,15 +30,15 @@ from vecframe.llm._common import Stage, hinted
 from vecframe.llm.cluster import boruvka
 from vecframe.llm.knn import exact_cosines
 from vecframe.llm.shingles import shingle_sets
-from vecframe.llm.vectors import angles, block, fit_cells, fresh, pack, unit, unpack, usable
+from vecframe.llm.vectors import angles, block, fit_cells, fresh, pack, salt, unit, unpack, usable
 
 WIDTH, THRESHOLD, COSINE = 3, 0.5, 0.98
 #: Records of a block; shingles of a range.
 BLOCK_ROWS, RANGE_SHINGLES = 4096, 1 << 18
 #: Prefix shingles that a pair must share (fewer for sets too small for that).
-LEAST = 8
+LEAST = 5
 #: Bits of a record's shingle bitmap.
-BITMAP = 128
+BITMAP = 64
 #: Records of a group whose pairs are tested in one task; larger groups are cut to chunks of this.
 GROUP = 256
 _LOW = np.uint64((1 << 32) - 1)
@@ -322,32 +322,36 @@ def embedding_links(df: DataFrame, dim: int, cosine: float, part_rows: int = 819
     the triangle inequality no other cell can hold a row near enough.
     """
     spark = df.sparkSession
-    cells = fit_cells(df, "id", "v", dim, per_cell=part_rows // 4)
-    shared = spark.sparkContext.broadcast(cells.centres)
+    cells = fit_cells(df, "id", "v", dim, per_cell=part_rows)
+    # Cells that hold more than a part's rows, going by the sample, are spread over parts by a hash.
+    parts = np.maximum(1, np.ceil(cells.shares * cells.rows / part_rows)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((cells.centres, parts))
     slack = 2 * math.acos(cosine) + 1e-3
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x, good = block(part.column(1), dim)
+                rows = batch.slice(at, 4096)
+                x, good = block(rows.column(1), dim)
                 keep = np.flatnonzero(good)
                 if not len(keep):
                     continue
-                x, ids = x[keep], part.column(0).to_numpy(zero_copy_only=False)[keep]
-                asks = part.column(2).to_numpy(zero_copy_only=False)[keep].astype(bool)
-                a = angles(unit(x) @ shared.value.T)
+                x, ids = x[keep], rows.column(0).to_numpy(zero_copy_only=False)[keep]
+                asks = rows.column(2).to_numpy(zero_copy_only=False)[keep].astype(bool)
+                centres, parts_of = shared.value
+                a = angles(unit(x) @ centres.T)
                 near = a.argmin(axis=1)
+                own = (salt(ids, 0) % parts_of[near].astype(np.uint64)).astype(np.int64)
+                # The members of a cell go to one part each, its queries to all of its parts.
                 q, c = np.nonzero((a <= a.min(axis=1, keepdims=True) + slack) & asks[:, None])
-                who, cell = np.r_[np.arange(len(x)), q], np.r_[near, c]
+                times = parts_of[c]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                q, c = np.repeat(q, times), np.repeat(c, times)
+                who, cell, part = np.r_[np.arange(len(x)), q], np.r_[near, c], np.r_[own, part]
                 asking = np.r_[np.zeros(len(x), bool), np.ones(len(q), bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(ids[who]), pa.array(asking), pa.array(pack(x[who]), pa.binary())], names=["cell", "id", "asking", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[who]), pa.array(asking), pa.array(pack(x[who]), pa.binary())], names=["cell", "part", "id", "asking", "x"])
 
-    parts = int(max(1, -(-cells.rows // (len(cells.centres) * part_rows))) * 4)
-    dealt = df.where(usable("v", dim)).mapInArrow(deal, "cell int, id bigint, asking boolean, x binary")
-    # Members of a cell are spread over parts by a hash, and its queries go to each of them.
-    members = dealt.where("not asking").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    asking = dealt.where("asking").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = df.where(usable("v", dim)).mapInArrow(deal, "cell int, part int, id bigint, asking boolean, x binary")
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf.asking.to_numpy(dtype=bool)
@@ -378,7 +382,7 @@ def embedding_links(df: DataFrame, dim: int, cosine: float, part_rows: int = 819
         keep = a != b
         return pd.DataFrame({"a": a[keep], "b": b[keep], "sim": np.ones(int(keep.sum()), np.float32)})
 
-    return Stage(members.unionByName(asking).groupBy("cell", "part").applyInPandas(look, "a bigint, b bigint, sim float"))
+    return Stage(dealt.groupBy("cell", "part").applyInPandas(look, "a bigint, b bigint, sim float"))
 
 
 def near_duplicates(

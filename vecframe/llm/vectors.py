@@ -82,10 +82,11 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 0) -> n
 
 @dataclass
 class Cells:
-    """Centres fitted on a bounded sample, and the size of the table they were fitted for."""
+    """Centres fitted on a bounded sample, the size of the table they were fitted for, and each centre's share of it."""
 
     centres: np.ndarray
     rows: int
+    shares: np.ndarray
 
 
 def fit_cells(df: DataFrame, key: str, vector: str, dim: int, per_cell: int, seed: int = 0, sample_rows: int = SAMPLE_ROWS, most: int = MOST_CENTRES) -> Cells:
@@ -100,8 +101,11 @@ def fit_cells(df: DataFrame, key: str, vector: str, dim: int, per_cell: int, see
     x = x[good]
     k = max(1, min(most, -(-n // per_cell), len(x)))
     if not len(x):
-        return Cells(np.eye(1, dim, dtype=np.float32), n)
-    return Cells(spherical_kmeans(unit(x), k, seed=seed), n)
+        return Cells(np.eye(1, dim, dtype=np.float32), n, np.ones(1))
+    u = unit(x)
+    centres = spherical_kmeans(u, k, seed=seed)
+    near = np.concatenate([(u[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(u), 4096)])
+    return Cells(centres, n, np.bincount(near, minlength=len(centres)) / len(u))
 
 
 def usable_blocks(batches: Iterator[pa.RecordBatch], dim: int, rows: int = 4096) -> Iterator[tuple[pa.Array, np.ndarray]]:
