@@ -30,7 +30,7 @@ from vecframe.llm._common import Stage, hinted
 from vecframe.llm.cluster import boruvka
 from vecframe.llm.knn import exact_cosines
 from vecframe.llm.shingles import shingle_sets
-from vecframe.llm.vectors import angles, block, fit_cells, fresh, pack, salt, unit, unpack, usable
+from vecframe.llm.vectors import angles, block, fit_cells, fresh, salt, unit, usable
 
 WIDTH, THRESHOLD, COSINE = 3, 0.5, 0.98
 #: Records of a block; shingles of a range.
@@ -62,9 +62,55 @@ def _unzip(blob: bytes, size: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers compressed byte plane by byte plane."""
+    x = np.ascontiguousarray(x)
+    return _zip(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T))
+
+
+def _numbers(blob: bytes, size: int, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(_unzip(blob, size * width, np.uint8).reshape(width, size).T).view(dtype).ravel()
+
+
+def _deal_texts(n_blocks: int):
+    """Records packed by block: ids, lengths and texts, compressed, so that texts are shuffled small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(1).to_pylist()
+            block_of = (salt(ids, 1) % np.uint64(n_blocks)).astype(np.int64)
+            order = np.argsort(block_of, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(block_of[order]) != 0])
+            blocks, counts, parts, sizes = [], [], [], []
+            for a, b in zip(start, np.r_[start[1:], len(order)], strict=True):
+                who = order[a:b]
+                raw = [texts[i].encode("utf-8", "surrogatepass") for i in who]
+                body = ids[who].astype(np.int64).tobytes() + np.array([len(r) for r in raw], dtype=np.int64).tobytes() + b"".join(raw)
+                blocks.append(int(block_of[who[0]]))
+                counts.append(len(who))
+                sizes.append(len(body))
+                parts.append(pa.compress(body, codec="zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "size", "blob"])
+
+    return run
+
+
 def _once(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block's records, each id once, in the order of ids."""
-    return pdf.sort_values(["id", "text"]).drop_duplicates("id", keep="last").reset_index(drop=True)
+    ids, texts = [], []
+    for n, size, blob in zip(pdf.n, pdf["size"], pdf.blob, strict=True):
+        body = pa.decompress(blob, int(size), codec="zstd", asbytes=True)
+        ids.append(np.frombuffer(body, dtype=np.int64, count=n))
+        at = 16 * n
+        for length in np.frombuffer(body, dtype=np.int64, count=n, offset=8 * n).tolist():
+            texts.append(body[at : at + length].decode("utf-8", "surrogatepass"))
+            at += length
+    out = pd.DataFrame({"id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "text": texts})
+    return out.sort_values(["id", "text"]).drop_duplicates("id", keep="last").reset_index(drop=True)
 
 
 def _bitmaps(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -198,7 +244,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
     """
     n_blocks = max(1, -(-n_rows // BLOCK_ROWS))
     range_bits = max(4, math.ceil(math.log2(max(1, n_rows * 96 / RANGE_SHINGLES))))
-    blocks = df.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "text")
+    blocks = df.select("id", "text").mapInArrow(_deal_texts(n_blocks), "block int, n int, size bigint, blob binary")
     edges_of_ranges = np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(32)
 
     def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -349,16 +395,22 @@ def embedding_links(df: DataFrame, dim: int, cosine: float, part_rows: int = 819
                 q, c = np.repeat(q, times), np.repeat(c, times)
                 who, cell, part = np.r_[np.arange(len(x)), q], np.r_[near, c], np.r_[own, part]
                 asking = np.r_[np.zeros(len(x), bool), np.ones(len(q), bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[who]), pa.array(asking), pa.array(pack(x[who]), pa.binary())], names=["cell", "part", "id", "asking", "x"])
+                order = np.lexsort((part, cell))
+                who, cell, part, asking = who[order], cell[order], part[order], asking[order]
+                start = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(part) != 0)])
+                ends = np.r_[start[1:], len(who)]
+                columns = [[_planes(ids[who[i:j]].astype(np.int64)) for i, j in zip(start, ends, strict=True)], [_zip(asking[i:j].astype(np.uint8)) for i, j in zip(start, ends, strict=True)], [_planes(x[who[i:j]].ravel()) for i, j in zip(start, ends, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[start].astype(np.int32)), pa.array(part[start].astype(np.int32)), pa.array((ends - start).astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=["cell", "part", "n", "ids", "asking", "x"])
 
-    dealt = df.where(usable("v", dim)).mapInArrow(deal, "cell int, part int, id bigint, asking boolean, x binary")
+    dealt = df.where(usable("v", dim)).mapInArrow(deal, "cell int, part int, n int, ids binary, asking binary, x binary")
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf.asking.to_numpy(dtype=bool)
+        ask = np.concatenate([_unzip(b, n, np.uint8) for b, n in zip(pdf.asking, pdf.n, strict=True)]).astype(bool)
         out_a, out_b = [], []
         if ask.any() and not ask.all():
-            q_ids, m_ids = pdf.id.to_numpy()[ask], pdf.id.to_numpy()[~ask]
-            q_raw, m_raw = unpack(pdf.x[ask], dim), unpack(pdf.x[~ask], dim)
+            ids = np.concatenate([_numbers(b, n, np.int64) for b, n in zip(pdf.ids, pdf.n, strict=True)])
+            raw = np.concatenate([_numbers(b, n * dim, np.float32).reshape(n, dim) for b, n in zip(pdf.x, pdf.n, strict=True)])
+            q_ids, m_ids, q_raw, m_raw = ids[ask], ids[~ask], raw[ask], raw[~ask]
             qs, ms = unit(q_raw), unit(m_raw)
             firsts = np.full(len(m_ids), -1, dtype=np.int64)
             for at in range(0, len(qs), 512):
