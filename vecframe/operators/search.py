@@ -63,7 +63,7 @@ def _query_matrix(queries: DataFrame, key: str, vector: str) -> tuple[list[Any],
     vectors = rows.column(1).to_pylist()
     if len({len(v) for v in vectors}) > 1:
         raise SearchError("query vectors differ in their dimension")
-    return ids, np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
+    return ids, np.array(vectors, dtype=np.float64).reshape(len(ids), len(vectors[0]) if vectors else 0)
 
 
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", query_key: str | None = None, query_vector: str | None = None, metric_name: str = "COSINE", exclude_self: bool = False) -> DataFrame:
