@@ -191,6 +191,29 @@ def _pair_frame(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.Data
     return pd.DataFrame({"a": a[first], "b": b[first], "found": np.diff(np.r_[first, len(a)]).astype(np.int32), "least": least[first].astype(np.int32)})
 
 
+def _pack_pairs(pairs: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Pairs packed by a hash of their first record, compressed."""
+    a = pairs.a.to_numpy()
+    bucket = (salt(a, 2) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((pairs.b.to_numpy(), a, bucket))
+    bucket = bucket[order]
+    columns = [pairs[c].to_numpy()[order] for c in ("a", "b", "found", "least")]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.r_[start[1:], len(bucket)]
+    packed = [[_planes(c[i:j]) for i, j in zip(start, ends, strict=True)] for c in columns]
+    return pd.DataFrame({"bucket": bucket[start].astype(np.int32), "n": (ends - start).astype(np.int32), **dict(zip(("a", "b", "found", "least"), packed, strict=True))})
+
+
+def _shared_enough(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket's pairs, from all ranges, those found by enough shingles."""
+    a, b, found, least = (np.concatenate([_numbers(x, n, kind) for x, n in zip(pdf[c], pdf.n, strict=True)]) for c, kind in (("a", np.int64), ("b", np.int64), ("found", np.int32), ("least", np.int32)))
+    order = np.lexsort((b, a))
+    a, b, found, least = a[order], b[order], found[order], least[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    keep = np.add.reduceat(found, first) >= np.minimum.reduceat(least, first)
+    return pd.DataFrame({"a": a[first][keep], "b": b[first][keep]})
+
+
 def _first_pairs(pdf: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
     """Candidates of one range: all of small groups, those with the first record of larger ones, and whether any was."""
     rows, first, sizes = _group_rows(pdf)
@@ -301,8 +324,8 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
 
     pair_schema = "a bigint, b bigint, found int, least int"
     packed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, n int, blob binary")
-    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _first_pairs(pdf, t, group), pair_schema)
-    found = Stage(per_range.groupBy("a", "b").agg(F.sum("found").alias("found"), F.min("least").alias("least")).where("found >= least").select("a", "b"))
+    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _pack_pairs(_first_pairs(pdf, t, group), n_blocks), "bucket int, n int, a binary, b binary, found binary, least binary")
+    found = Stage(per_range.groupBy("bucket").applyInPandas(_shared_enough, "a bigint, b bigint"))
     links = [_verified(df, found.df.where("a <> b"), width, t)]
     if found.df.where("a = -1 and b = -1").limit(1).count():
         forest, cuts = boruvka(links[0].df, (0.0,))
