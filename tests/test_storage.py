@@ -250,14 +250,18 @@ def test_command_line(docs, spark, tmp_path):
 # --- streams
 
 
+def _in_order(folder):
+    """A stream takes files by their times."""
+    for i, f in enumerate(sorted(folder.glob("*.parquet"))):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
 @pytest.fixture
 def trace(spark, tmp_path):
     rows = [(i, i * 7 % 11, 1_700_000_000 + i * 20, i % 3 > 0) for i in range(60)]
     df = spark.createDataFrame(rows, "n long, k long, s long, hit boolean").select("n", "k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "hit")
     schema, path = jobs.replay_table(df, str(tmp_path / "trace"), 3, "n")
-    # A stream takes files by their times.
-    for i, f in enumerate(sorted((tmp_path / "trace").glob("*.parquet"))):
-        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    _in_order(tmp_path / "trace")
     return df, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -265,6 +269,7 @@ def test_stream_upserts(docs, spark, tmp_path):
     rows = [(i % 5 + 1, f"v{i}", [1.0] * 4, float(i)) for i in range(12)]
     df = spark.createDataFrame(rows, "id long, title string, embedding array<float>, score float")
     schema, path = jobs.replay_table(df, str(tmp_path / "in"), 2, "score")
+    _in_order(tmp_path / "in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     for _ in range(2):
         q = jobs.upsert_into(stream, docs, str(tmp_path / "cp"), [F.desc("score")], available_now=True)
