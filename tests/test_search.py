@@ -125,6 +125,7 @@ def test_binary(spark):
     assert [(r.score, r.id) for r in I.binary_top_k(df, "id", "h", raw[0], 5).collect()] == ham
     jac = sorted((1 - bits(n[0] & v) / bits(n[0] | v), i) for i, v in enumerate(n))[:5]
     assert [r.id for r in I.binary_top_k(df, "id", "h", raw[0], 5, "JACCARD").collect()] == [i for _, i in jac]
+    assert I.binary_bucket_top_k(df, "id", "h", raw[0], 3, bits=4).first().id == 0
     buckets = I.binary_buckets(spark.createDataFrame([(1, bytearray(raw[0])), (2, bytearray(raw[0]))], "id int, h binary"), "id", "h", 16)
     assert buckets.groupBy("bucket").count().where("count <> 2").count() == 0
     words = spark.createDataFrame([(x.tolist(),) for x in rng.standard_normal((1, 70))], "v array<double>").select(M.sign_words(F.col("v"), 70).alias("w")).first().w

@@ -176,6 +176,14 @@ def test_result_cache(docs):
     assert docs.cache.report()["lookups"] == strong
 
 
+def test_warm_and_clear(docs):
+    assert docs.cache_warm([[1, 0, 0, 0]], [docs.objects.filter(score__gt=0.2)]) == (2, [])
+    assert docs.objects.cache().search([1, 0, 0, 0], limit=10).rows() and docs.cache_stats()["hits"] == 1
+    docs.cache_clear()
+    docs.objects.cache().search([1, 0, 0, 0], limit=10).rows()
+    assert docs.cache_stats()["hits"] == 1
+
+
 def test_residency(docs):
     assert docs.load_state() == "NotLoad"
     docs.load()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,7 +94,7 @@ def simulate(df: DataFrame, key: str, order: Sequence[str], policies: Sequence[s
     cols = [f"o{i}" for i in range(len(order))]
     runs = trace.withColumn("run", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(int(c)).alias("capacity")) for p in policies for c in capacities])))
 
-    def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         policy, capacity, shard = key_
         keys = pdf.sort_values([*cols, "k"])["k"].tolist()
         hits = replay(policy, max(1, int(capacity) // shards), keys)
@@ -109,15 +111,41 @@ def frequencies(df: DataFrame, key: str) -> DataFrame:
 
 def semantic_hits(df: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """``(query_id, id, similarity)``: for each vector the most similar one before it (smaller key) at a cosine of at
-    least ``threshold``: what a semantic cache would have answered it with. For a bounded set of cached vectors, which
-    go to all tasks in blocks.
-    """
-    from vecframe.operators.search import batch_top_k
+    least ``threshold``: what a semantic cache would have answered it with.
 
-    hits = batch_top_k(df, df, 1 << 30, key, vector)
-    older = hits.where((F.col(key) < F.col("query_id")) & (F.col("score") >= threshold))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return older.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("query_id", F.col(key).alias("id"), F.col("score").alias("similarity"))
+    Blocks of vectors are compared with all rows by matrix products; each batch yields one row per vector at most.
+    Meant for traces of a cache's size; its cost grows with the square of the rows.
+    """
+    from vecframe.functions.metrics import METRICS
+    from vecframe.operators.search import query_blocks, rows_of
+
+    kernel = METRICS["COSINE"].block
+    parts = None
+    for own, matrix in query_blocks(df, key, vector):
+        shared = df.sparkSession.sparkContext.broadcast((np.asarray(own, dtype=np.int64), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                keys, x = rows_of(b, q.shape[1])
+                if not len(x):
+                    continue
+                k = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(k, kind="stable")
+                k = k[order]
+                s = np.round(kernel(q, x[order]), 10)
+                s = np.where((k[None, :] < ids[:, None]) & ~np.isnan(s), s, -np.inf)
+                best = s.argmax(axis=1)
+                v = s[np.arange(len(ids)), best]
+                hit = np.flatnonzero(v >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(k[best[hit]]), pa.array(v[hit])], names=["query_id", "id", "similarity"])
+
+        part = df.select(F.col(key).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(run, "query_id bigint, id bigint, similarity double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double")
+    best = parts.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("b"))
+    return best.select("query_id", (-F.col("b.n")).alias("id"), F.col("b.similarity").alias("similarity"))
 
 
 def prometheus(counters: dict[str, float], gauges: dict[str, float], prefix: str = "vecframe_cache") -> str:

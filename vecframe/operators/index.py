@@ -252,6 +252,15 @@ def binary_buckets(df: DataFrame, key: str, vector: str, size: int, bits: int =
     return df.where(F.octet_length(vector) == size).select(key, vector, F.explode(F.array(*buckets)).alias("bucket"))
 
 
+def binary_bucket_top_k(df: DataFrame, key: str, vector: str, query: bytes, k: int, metric_name: str = "HAMMING", bits: int = 12, tables: int = 8, seed: int = 1) -> DataFrame:
+    """Rows that share a bucket with the query, scored exactly; near ones share one with high probability."""
+    size = len(query)
+    asked = df.sparkSession.createDataFrame([(bytearray(query),)], "q binary").withColumn("n", F.lit(0))
+    own = binary_buckets(asked, "n", "q", size, bits, tables, seed).select("bucket")
+    near = binary_buckets(df, key, vector, size, bits, tables, seed).join(F.broadcast(own), "bucket", "left_semi").select(key, vector).dropDuplicates([key])
+    return binary_top_k(near, key, vector, query, k, metric_name)
+
+
 def postings(df: DataFrame, key: str, vector: str, drop_ratio: float = 0.2) -> DataFrame:
     """``(term, key, weight, most)``: the sparse index; per row the smallest weights are dropped by the ratio.
 

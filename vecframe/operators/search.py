@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from vecframe.errors import SearchError
@@ -57,13 +58,26 @@ def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float], thresh
     return within(df, key, vector, query, threshold, metric_name).orderBy(ordered("score", metric(metric_name).higher_is_better), key).limit(1)
 
 
-def _query_matrix(queries: DataFrame, key: str, vector: str) -> tuple[list[Any], np.ndarray]:
-    rows = queries.select(key, vector).where(F.col(vector).isNotNull()).toArrow()
-    ids = rows.column(0).to_pylist()
-    vectors = rows.column(1).to_pylist()
-    if len({len(v) for v in vectors}) > 1:
-        raise SearchError("query vectors differ in their dimension")
-    return ids, np.array(vectors, dtype=np.float64).reshape(len(ids), len(vectors[0]) if vectors else 0)
+def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list[Any], np.ndarray]]:
+    """Keys and vectors of a stated query set, in turns of about ``QUERY_BLOCK`` rows; each turn is fetched by itself,
+    so the driver never holds more than one. A query without a vector is left out."""
+    rows = queries.select(key, vector).where(F.col(vector).isNotNull())
+    turns = -(-rows.count() // QUERY_BLOCK)
+    for i in range(turns):
+        part = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(turns)) == i) if turns > 1 else rows
+        got = part.toArrow()
+        ids, vectors = got.column(0).to_pylist(), got.column(1).to_pylist()
+        if len({len(v) for v in vectors}) > 1:
+            raise SearchError("query vectors differ in their dimension")
+        if ids:
+            yield ids, np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
+
+
+def rows_of(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Keys and double rows of the vectors of that dimension in a (key, vector) batch."""
+    fits = pa.array(np.flatnonzero(batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim))
+    x = batch.column(1).take(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return batch.column(0).take(fits), x
 
 
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", query_key: str | None = None, query_vector: str | None = None, metric_name: str = "COSINE", exclude_self: bool = False) -> DataFrame:
@@ -79,27 +93,20 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id",
     qk, qv = query_key or key, query_vector or vector
     spark = corpus.sparkSession
     qtype = queries.schema[qk].dataType
-    ids, matrix = _query_matrix(queries, qk, qv)
-    dim = matrix.shape[1] if len(ids) else 0
+    arrow_type = to_arrow_type(qtype)
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField(key, corpus.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    if not ids:
-        return spark.createDataFrame([], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), schema[1], schema[2]]))
+    higher, worst = m.higher_is_better, -np.inf if m.higher_is_better else np.inf
 
-    def run_for(part_ids: list[Any], part: np.ndarray):
-        shared = spark.sparkContext.broadcast((part_ids, part))
-        higher = m.higher_is_better
+    def run_for(own: list[Any], matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((own, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
             for b in batches:
-                col = b.column(1)
-                fits = np.flatnonzero(np.fromiter((v is not None for v in col.is_valid().to_pylist()), bool, len(col)) & (col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim))
-                if not len(fits):
+                keys, x = rows_of(b, q.shape[1])
+                if not len(x):
                     continue
-                x = col.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                keys = b.column(0).take(pa.array(fits))
                 s = m.block(q, x)
-                worst = -np.inf if higher else np.inf
                 s = np.where(np.isnan(s), worst, s)
                 if exclude_self:
                     s[np.asarray(own)[:, None] == keys.to_numpy(zero_copy_only=False)[None, :]] = worst
@@ -108,19 +115,18 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id",
                 # All rows as good as the k-th, so that ties are left to the merge.
                 edge = np.partition(order, n - 1, axis=1)[:, n - 1 : n]
                 r, c = np.nonzero((order <= edge) & np.isfinite(order))
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in r.tolist()], type=schema_arrow[0]), keys.take(pa.array(c)), pa.array(s[r, c])], names=["query_id", key, "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in r.tolist()], type=arrow_type), keys.take(pa.array(c)), pa.array(s[r, c])], names=["query_id", key, "score"])
 
-        schema_arrow = [to_arrow_type(qtype)]
         return corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
 
     hits = None
-    for at in range(0, len(ids), QUERY_BLOCK):
-        part = run_for(ids[at : at + QUERY_BLOCK], matrix[at : at + QUERY_BLOCK])
+    for own, matrix in query_blocks(queries, qk, qv):
+        part = run_for(own, matrix)
         hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        hits = spark.createDataFrame([], schema)
     # The rounding hides that a product of matrices sums in another order than a row's own product.
-    w = Window.partitionBy("query_id").orderBy(ordered("score", m.higher_is_better), key)
+    w = Window.partitionBy("query_id").orderBy(ordered("score", higher), key)
     ranked = hits.withColumn("score", F.round("score", 10)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score")
 

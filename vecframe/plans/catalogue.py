@@ -361,6 +361,13 @@ def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return I.lsh_top_k(e, "vec_id", "embedding", q, 10, tables=6, bits=4).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@_query()
+def binary_bucket_topk(spark: SparkSession, d: str) -> DataFrame:
+    b = _t(spark, d, "binary_hashes")
+    q = bytes(b.where("hash_vector is not null").orderBy("id").select("hash_vector").first()[0])
+    return I.binary_bucket_top_k(b, "id", "hash_vector", q, 10, bits=6).select("id", F.round("score", 6).alias("score"))
+
+
 @_query()
 def binary_buckets(spark: SparkSession, d: str) -> DataFrame:
     b = I.binary_buckets(_t(spark, d, "binary_hashes"), "id", "hash_vector", 32)

@@ -389,6 +389,20 @@ class Collection:
             return self.cache.search(self.name, r.data, field, r.metric_type or q.default_metric, ctx, r.limit, wider if opts.get("semantic", {}) not in (None, False) else lambda n: produce(), self.key, opts.get("ttl_override"), dict(q.spec.cache).get("semantic"), bool(opts.get("refresh"))).value
         return self.cache.read(self.name, "h" if q.spec.hybrid else "q", (q.spec.fingerprint(),), produce, dict(q.spec.cache).get("ttl"), bool(opts.get("refresh"))).value
 
+    def cache_stats(self) -> dict[str, Any]:
+        return self.cache.report() if self.cache is not None else {}
+
+    def cache_clear(self) -> None:
+        if self.cache is not None:
+            self.cache.clear(self.name)
+
+    def cache_warm(self, vectors: Iterable[Sequence[float]] = (), queries: Iterable[Query] = (), field: str | None = None, limit: int = 10) -> tuple[int, list[Exception]]:
+        """Run queries and searches for their cache entries; how many went well, and what failed."""
+        if self.cache is None:
+            return 0, []
+        jobs = [q.cache().rows for q in queries] + [self.objects.cache().search(list(v), field, limit).rows for v in vectors]
+        return self.cache.warm(jobs)
+
     # --- residency
 
     def load(self, partitions: Sequence[str] = ()) -> None:
