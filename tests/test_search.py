@@ -189,6 +189,17 @@ def test_simulation_matches_a_replay(spark):
     assert got == {(p, c): replay(p, c, keys) for p in ("lru", "arc") for c in (20, 50)}
 
 
+def test_lru_in_blocks(spark):
+    from vecframe.cache.policies import replay
+
+    rng = np.random.default_rng(3)
+    keys = [str(int(v) % 200) for v in rng.pareto(0.7, 3000)]
+    df = spark.createDataFrame([(i // 3, i, k) for i, k in enumerate(keys)] + [(9999, 0, None)], "t int, n int, k string")
+    for capacity, rows in ((20, 10_000), (20, 500), (150, 100)):
+        assert tuple(A.lru_hits(df, "k", ["t", "n"], capacity, rows).first()) == (3000, replay("lru", capacity, keys))
+    assert tuple(A.lru_hits(df.limit(0), "k", ["t", "n"], 5).first()) == (0, 0)
+
+
 def test_every_catalogue_query_runs(spark, data):
     from vecframe.plans import catalogue
 

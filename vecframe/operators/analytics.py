@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -62,23 +63,55 @@ def tier_counters(df: DataFrame, tier: str, hit: Column) -> DataFrame:
     return df.agg(F.count("*").alias("lookups"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"), of("l1"), of("l2"), of("semantic"), of("miss"))
 
 
-def lru_hits(df: DataFrame, key: str, order: Sequence[str], capacity: int) -> DataFrame:
+def lru_hits(df: DataFrame, key: str, order: Sequence[str], capacity: int, block_rows: int = 200_000) -> DataFrame:
     """``(accesses, hits)`` of an LRU cache: an access hits if fewer than ``capacity`` other keys came since the last
     access of its key.
 
-    The reuse distance is what a sequential cache of that capacity does, so the trace is replayed: per shard, a
-    single pass in order (see :func:`simulate`).
+    What such a cache holds at a moment are the ``capacity`` keys used last before it. So the trace is cut into blocks
+    of its first order column (a number or a time), each block tells the keys it used last, these are merged from block
+    to block, and every block is replayed by itself from what the ones before it left. Null keys are no accesses.
     """
-    from vecframe.cache.policies import replay
-
-    trace = df.select(F.col(key).cast("string").alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.lit(0).alias("shard"))
+    first = F.col(order[0])
+    at = F.unix_micros(first.cast("timestamp")) if df.schema[order[0]].dataType.typeName().startswith("timestamp") else first
     cols = [f"o{i}" for i in range(len(order))]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf.sort_values(cols)["k"].tolist()
-        return pd.DataFrame({"accesses": [len(keys)], "hits": [replay("lru", capacity, keys)]})
-
-    return trace.groupBy("shard").applyInPandas(run, "accesses bigint, hits bigint")
+    trace = df.where(F.col(key).isNotNull() & first.isNotNull()).select(F.col(key).cast("string").alias("k"), at.cast("double").alias("at"), *[F.col(c).alias(n) for c, n in zip(order, cols, strict=True)])
+    n_blocks = -(-trace.count() // block_rows)
+    edges = sorted(set(trace.approxQuantile("at", [i / n_blocks for i in range(1, n_blocks)], 0.1 / n_blocks))) if n_blocks > 1 else []
+    block = F.lit(0)
+    for e in edges:
+        block = block + (F.col("at") > e).cast("int")
+    trace = trace.withColumn("block", block)
+
+    def last_used(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = pdf.sort_values(cols)["k"].iloc[::-1].drop_duplicates().head(capacity)
+        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "used": [keys.tolist()]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: list[str] = []
+        out = []
+        for number, used in pdf.sort_values("block")[["block", "used"]].itertuples(index=False):
+            out.append((int(number), held))
+            held = list(dict.fromkeys([*used, *held]))[:capacity]
+        return pd.DataFrame(out, columns=["block", "held"])
+
+    # One list of capacity keys per block.
+    before = trace.groupBy("block").applyInPandas(last_used, "block int, used array<string>").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merged, "block int, held array<string>")
+
+    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        held = OrderedDict.fromkeys(reversed(list(state.held.iloc[0]))) if len(state) else OrderedDict()
+        hits = 0
+        for k in rows.sort_values(cols)["k"]:
+            if k in held:
+                hits += 1
+                held.move_to_end(k)
+            else:
+                held[k] = None
+                if len(held) > capacity:
+                    held.popitem(last=False)
+        return pd.DataFrame({"accesses": [len(rows)], "hits": [hits]})
+
+    per_block = trace.groupBy("block").cogroup(before.groupBy("block")).applyInPandas(run, "accesses bigint, hits bigint")
+    return per_block.agg(F.coalesce(F.sum("accesses"), F.lit(0)).alias("accesses"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
 
 
 def simulate(df: DataFrame, key: str, order: Sequence[str], policies: Sequence[str], capacities: Sequence[int], shards: int = 1) -> DataFrame:
