@@ -374,6 +374,32 @@ def binary_buckets(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("bucket").agg(F.count("*").alias("rows"))
 
 
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100")
+def query_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The raw read's default limit is its feature; the key orders it."""
+    q = _over(spark, d, "orders").filter("o_totalprice > 50000 and o_orderstatus == 'O'")
+    return q.only("o_orderkey", "o_totalprice").limit(100).ordered()
+
+
+@_query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE e.label IN (2, 4) OR e.vec_id < 50) ORDER BY s DESC, vec_id LIMIT 10")
+def search_raw(spark: SparkSession, d: str) -> DataFrame:
+    (q,) = _ids(_t(spark, d, "embeddings"), [3], "vec_id", "embedding")
+    hits = _over(spark, d, "embeddings").filter("label in [2, 4] || vec_id < 50").search(q, limit=10).to_df()
+    return hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
+_FILTERED_LEG = "(SELECT vec_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rk FROM (SELECT e.vec_id, {m} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {q}) q WHERE e.label <> 7{more}) QUALIFY rk <= 15)"
+
+
+@_query(f"SELECT vec_id, round(sum(1.0 / (60 + rk)), 6) AS score FROM (SELECT * FROM {_FILTERED_LEG.format(m=_COS, q=0, more='')} UNION ALL SELECT * FROM {_FILTERED_LEG.format(m=_DOT, q=1, more=' AND e.vec_id < 300')}) GROUP BY vec_id ORDER BY round(sum(1.0 / (60 + rk)), 12) DESC, vec_id LIMIT 10")
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The query's filter holds for every leg, a leg's own text for that leg."""
+    a, b = _ids(_t(spark, d, "embeddings"), [0, 1], "vec_id", "embedding")
+    q = _over(spark, d, "embeddings").filter(label__ne=7)
+    fused = q.hybrid_search([{"data": a, "limit": 15}, {"data": b, "limit": 15, "expr": "vec_id < 300", "param": {"metric_type": "IP"}}], limit=10)
+    return fused.to_df().select("vec_id", F.round("score", 6).alias("score"))
+
+
 # --- writes ----------------------------------------------------------------------------------------------------
 
 
