@@ -265,6 +265,14 @@ class PrimaryKeyField(Field):
         self.spark_type = T.LongType() if field_type == "int64" else T.StringType()
         self.store_type = "INT64" if field_type == "int64" else "VARCHAR"
 
+    def validate(self, value: Any) -> None:
+        if value is None:
+            return
+        if self.store_type == "INT64" and (isinstance(value, bool) or not isinstance(value, int | np.integer)):
+            self._fail(f"{value!r} is no integer")
+        if self.store_type == "VARCHAR" and len(str(value)) > self.max_length:
+            self._fail(f"longer than {self.max_length} characters")
+
 
 class Int64PrimaryKey(PrimaryKeyField):
     def __init__(self, **options: Any) -> None:
