@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecframe.llm import cluster as cluster_module
 from vecframe.llm import neardup
 from vecframe.llm.cluster import boruvka, cluster, components
 from vecframe.llm.knn import build_graph, knn, search_graph
@@ -157,6 +159,27 @@ def test_components(clusters):
     assert components(df.limit(0), 0.68, dim=32).count() == 0
 
 
+def test_components_keep_links_that_cells_part(spark, monkeypatch):
+    """Chains of scattered rows, each linked to the next by one cosine of 0.7 only, over many cells."""
+    monkeypatch.setattr(cluster_module, "neighbour_graph", partial(cluster_module.neighbour_graph, cell_rows=32))
+    rng = np.random.default_rng(14)
+    x = []
+    for _ in range(200):
+        v = _unit(rng.standard_normal(128))
+        x.append(v)
+        for _ in range(4):
+            away = rng.standard_normal(128)
+            v = 0.7 * v + np.sqrt(1 - 0.7**2) * _unit(away - (away @ v) * v)
+            x.append(v)
+    x = np.array(x, dtype=np.float32)[rng.permutation(1000)]
+    u = _unit(x.astype(np.float64))
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.68, 1))
+    want = {(m, min(g)) for g in _group(len(x), zip(i.tolist(), j.tolist(), strict=True)).values() if len(g) >= 5 for m in g}
+    df = spark.createDataFrame([(k, None, v, None, 1) for k, v in enumerate(x.tolist())], SCHEMA)
+    assert len(want) == 1000
+    assert {(r.id, r.cluster_id) for r in components(df, 0.68).collect()} == want
+
+
 def test_cluster_descriptions(clusters):
     x, df = clusters
     got = sorted(cluster(df, dim=32).collect(), key=lambda r: -r["size"])
