@@ -228,6 +228,24 @@ def test_knn_of_few_and_equal_rows(spark):
     assert knn(df.limit(0), asked, dim=2).count() == 0 and knn(df, asked.limit(0), dim=2).count() == 0
 
 
+def test_knn_of_more_copies_than_the_beam(spark):
+    """Groups of 300 equal rows: their neighbours are the smallest ids of the tie."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 128)).astype(np.float32)
+    groups = np.sort(rng.permutation(4000)[:3000].reshape(10, 300), axis=1)
+    base = rng.standard_normal(128).astype(np.float32)
+    for g in groups:
+        x[g] = base + 0.6 * rng.standard_normal(128).astype(np.float32)
+    df = spark.createDataFrame([(i, None, v, None, 1) for i, v in enumerate(x.tolist())], SCHEMA)
+    probes = [int(p) for g in groups for p in (g[0], g[5], g[-1])]
+    got = defaultdict(list)
+    for r in knn(df, spark.createDataFrame([(p,) for p in probes], "id bigint"), k=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    for g in groups:
+        for p in (g[0], g[5], g[-1]):
+            assert got[int(p)] == [int(i) for i in g if i != p][:10]
+
+
 def test_filters_lose_nothing():
     rng = np.random.default_rng(8)
     base = _texts(9, 12, 6, 40)
