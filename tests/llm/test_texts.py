@@ -244,3 +244,46 @@ def test_truncation_operator(spark):
     by = {r.source: r for r in truncation_by_source(df).collect()}
     assert by[None].contents == 1 and by[None].content_share == 1.0 and by["s1"].contents == 7 and by["s1"].contents_cut == 1
     assert truncated(df.limit(0)).count() == 0
+
+
+def _corpus(n: int, seed: int = 5, longer: int = 0) -> list[str]:
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    return [" ".join(" ".join(rng.choice(words) for _ in range(rng.randint(6, 12))).capitalize() + "." for _ in range(rng.randint(5, 9) + longer)) for _ in range(n)]
+
+
+def test_near_copies_show_planted_cuts(spark):
+    """Copies cut to 25 to 90 % with an edit: nearly all are shown by the copy that goes on, none of the whole ones."""
+    rng = random.Random(9)
+    rows, cut = [], set()
+    for i, text in enumerate(_corpus(200, longer=12)):
+        rows.append((2 * i, text))
+        at = int(len(text) * rng.uniform(0.25, 0.9))
+        while not (text[at - 1].isalnum() and text[at].isalnum()):
+            at -= 1
+        part = text[:at].split(" ")
+        part[len(part) // 2] = "edited"
+        rows.append((2 * i + 1, " ".join(part)))
+        cut.add(2 * i + 1)
+    df = spark.createDataFrame([(i, None, t, None) for i, t in rows], "id long, source string, content string, title string")
+    got = truncated(df, version=None).where("field_name = 'content'").collect()
+    shown = {r.id for r in got if r.near_copy}
+    assert shown <= cut and len(shown) >= 0.9 * len(cut)
+    assert {r.id for r in got if r.cut} == cut
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_pieces_of_words_close_no_title_however_often(spark, times):
+    """The same cut title many times over does not make its piece of a word a word."""
+    texts = _corpus(60)
+    whole = [" ".join(t.split(" ")[:4]).rstrip(".") for t in texts]
+    rows = [(i, None, t, w) for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
+    rows += [(1000 + i, None, f"{t} The end.", " ".join(w.split(" ")[:3]) + " qu") for i, (t, w) in enumerate(zip(texts * times, whole * times, strict=True))]
+    df = spark.createDataFrame(rows, "id long, source string, content string, title string")
+    cut = {r.id for r in truncated(df, version=None).where("field_name = 'title' and cut").collect()}
+    assert {i for i in cut if i >= 1000} == {r[0] for r in rows if r[0] >= 1000}
+
+
+def test_null_versions_are_kept(spark):
+    df = spark.createDataFrame([(1, None, "It is all there.", None, None), (1, None, "It is all there.", None, None), (2, None, "Some words. Then it is all the", None, None)], "id long, source string, content string, title string, ingested_at timestamp")
+    assert {(r.id, r.cut) for r in truncated(df).collect()} == {(1, False), (2, True)}

@@ -20,7 +20,7 @@ MOST_CENTRES = 1024
 
 
 def fresh(df: DataFrame, key: str, version: str | None) -> DataFrame:
-    """Rows without those that a later ``version`` of their key replaces; ties stay.
+    """Rows without those that a later ``version`` of their key replaces; ties stay, and null versions come first.
 
     Only keys that occur more than once take part in the join; they are counted, and the wide rows are shuffled only
     if those are too many to broadcast.
@@ -29,7 +29,7 @@ def fresh(df: DataFrame, key: str, version: str | None) -> DataFrame:
     if version is None:
         return df
     again = hinted(Stage(df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.max(version).alias("_last")).where("_n > 1").drop("_n")))
-    return df.join(again, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | (F.col(version) == F.col("_last"))).drop("_k", "_last")
+    return df.join(again, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | F.col(version).eqNullSafe(F.col("_last"))).drop("_k", "_last")
 
 
 def usable(vector: str, dim: int):
@@ -123,4 +123,4 @@ def salt(keys: np.ndarray, seed: int) -> np.ndarray:
     """A hash of integer keys."""
     from vecframe.llm.shingles import mix
 
-    return mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed + 1))
+    return mix(keys.astype(np.int64).view(np.uint64) + np.array([0x9E3779B97F4A7C15], np.uint64) * np.uint64(seed + 1))
