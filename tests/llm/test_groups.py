@@ -98,6 +98,16 @@ def test_odd_records(spark):
     assert near_duplicates(df.where("id in (3, 5)"), dim=4).count() == 0
 
 
+def test_frequent_shingles_of_unrelated_records(spark):
+    """One boilerplate line in 20,000 unrelated records makes no pairs, and hides no near-copy."""
+    rng = np.random.default_rng(3)
+    line = "all rights of this page are reserved"
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 1 << 40, 12)) + " " + line, None, None, 1) for i in range(20_000)]
+    rows += [(50_000 + i, rows[i][1].replace(line, "and one more word " + line), None, None, 1) for i in range(0, 20_000, 100)]
+    got = {(r.id, r.group_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), dim=4, group=64).collect()}
+    assert got == {(k, i) for i in range(0, 20_000, 100) for k in (i, 50_000 + i)}
+
+
 def test_many_copies_in_one_group(spark):
     """Copies of one text, and a family of near-copies that shares all its shingles' groups."""
     base = "the worker warms every cache before the index and some rows of the table wait for a lease".split()

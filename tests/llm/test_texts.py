@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecframe.llm.mixing import Mix, _budgets
+from vecframe.llm.mixing import STEPS, Mix, _budgets
 from vecframe.llm.spam import is_spam, spam_pages, spam_shapes
 from vecframe.llm.split import pieces, split_oversized
 from vecframe.llm.tokenize import VOCABULARY, Encoder, encode_corpus
@@ -165,7 +165,7 @@ def test_mix_shares_and_caps(spark):
     docs = [(i, " ".join(rng.choice(word) for _ in range(rng.randrange(20, 60))), "a" if i % 3 else "b") for i in range(900)]
     docs += [(9001, None, "a"), (9002, "", "b"), (9003, "cache", None)]
     targets = [("m", "a", 1.0, 1, 0.9), ("m", "b", 3.0, 3, 0.9), ("n", "b", 1.0, 1, 2.0), ("n", "gone", 1.0, 2, 2.0), (None, "a", 1.0, 1, 1.0), ("m", None, 1.0, 1, 1.0), ("o", "a", -1.0, 1, 1.0)]
-    mix = _mix(spark, docs, targets, buckets=16)
+    mix = _mix(spark, docs, targets, steps=16)
     shares = {(r.mix_name, r.source): r for r in mix.shares().collect()}
     assert set(shares) == {("m", "a"), ("m", "b"), ("n", "b"), ("n", "gone")}
     assert shares["m", "a"].actual_share == pytest.approx(0.25, abs=0.005) and shares["m", "b"].actual_share == pytest.approx(0.75, abs=0.005)
@@ -176,10 +176,21 @@ def test_mix_shares_and_caps(spark):
     # Whole epochs first: the repeats of a source differ by one at most.
     b = {r.repeats for r in chosen if r.mix_name == "m" and r.source == "b"}
     assert max(b) - min(b) <= 1
-    again = _mix(spark, list(reversed(docs)), targets, buckets=64)
+    again = _mix(spark, list(reversed(docs)), targets, steps=64)
     assert sorted(map(tuple, again.choice().collect())) == sorted(map(tuple, chosen))
 
 
+@pytest.mark.parametrize("quality", [1.0, 0.01])
+def test_no_bucket_of_keys_holds_much_of_a_source(spark, quality):
+    rows = spark.range(50_000).select(F.lit("m").alias("mix_name"), "id")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), "mix_name", "id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    most = rows.groupBy(F.floor(F.log(-F.log(u) / quality) * STEPS)).count().agg(F.max("count")).first()[0]
+    assert most < 0.01 * 50_000
+    docs = [(i, "cache row " * 8, "a") for i in range(200)]
+    mix = _mix(spark, docs, [("m", "a", 1.0, 1, 0.5)], quality=F.lit(quality))
+    assert mix.choice().count() == 100
+
+
 def test_empty_mix(spark):
     assert _mix(spark, [], [("m", "a", 1.0, 1, 1.0)]).choice().count() == 0
     m = _mix(spark, [(1, "cache", "a")], [])

@@ -3,7 +3,9 @@
 A source's budget is its share of the mix's size. Its documents are all used as often as they fit in whole (epochs);
 what is left of the budget goes to documents in the order of exponential keys divided by their quality weights
 (Efraimidis and Spirakis), cut by a prefix sum of tokens. The prefix sum runs over a histogram of the keys first and
-within one bucket of it last, so no source is ever sorted in one task.
+within one bucket of it last, so no source is ever sorted in one task. Buckets are steps of the keys' logarithm: whatever
+the quality weights, an exponential key falls into a step of width w with a probability of at most w / e, so a bucket
+holds no more than that share of its source.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql.window import Window
 from vecframe.llm._common import Stage
 from vecframe.llm.tokenize import VOCABULARY, token_counts
 
-#: Buckets of a source's keys.
-BUCKETS = 4096
+#: Buckets for each factor e of a source's keys: about 1 / (e * STEPS) of the source is in the fullest one.
+STEPS = 2048
 
 
 def text_quality(text: Column) -> Column:
@@ -60,7 +62,7 @@ class Mix:
     only, not on partitions.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, seed: int = 7, quality: Column | None = None, buckets: int = BUCKETS) -> None:
+    def __init__(self, documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, seed: int = 7, quality: Column | None = None, steps: int = STEPS) -> None:
         t = F.col(text).cast("string")
         counted = documents.select(F.col(key).alias("id"), F.col("source").alias("source"), token_counts(t, vocabulary).cast("long").alias("tokens"), (quality if quality is not None else text_quality(t)).cast("double").alias("quality"))
         self.key = key
@@ -76,7 +78,7 @@ class Mix:
         self.plan = Stage(plan)
         rows = docs.where("tokens > 0").join(self.plan.df.where("budget > 0").select("mix_name", "source", "epochs", "rest"), "source")
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_name", "id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        rows = rows.withColumn("k", -F.log(u) / F.col("quality")).withColumn("bucket", F.floor((1 - F.exp(-F.col("k") / 4)) * buckets).cast("int"))
+        rows = rows.withColumn("k", -F.log(u) / F.col("quality")).withColumn("bucket", F.floor(F.log("k") * steps).cast("int"))
         sums = rows.where("rest > 0").groupBy("mix_name", "source", "bucket").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
         w = Window.partitionBy("mix_name", "source").orderBy("bucket")
         upto = sums.withColumn("upto", F.sum("t").over(w)).where("upto > rest")

@@ -9,10 +9,11 @@ can be common), and each pair left is verified once, on the whole sets.
 
 How it is spread: records are dealt to blocks by a hash of their id. A block hands out its distinct shingles by
 range of hash, a range counts them over all blocks and hands the frequencies back, in the block's order, so
-no table of shingles is ever joined or broadcast. Records with equal shingle sets are represented by one. In a
-shingle's group of up to ``GROUP`` records all pairs are tested. In a larger group the records are first tested against
-the group's first record only; in a second pass, pairs are tested only between records that no chain of links
-joins yet, so a large family of copies costs one test a record and still no link is lost.
+no table of shingles is ever joined or broadcast. Equal texts are represented by one. All pairs of a
+shingle in up to ``GROUP`` records are tested. A pair must share ``LEAST`` prefix shingles, so frequent shingles matter only to
+pairs of records that both have as many of them in their prefixes: all other records leave them out. Those left are
+first tested against the shingle's first record only; in a second pass, pairs are tested only between records that no
+chain of links joins yet, so a large family of copies costs one test a record and still no link is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BLOCK_ROWS, RANGE_SHINGLES = 4096, 1 << 18
 LEAST = 5
 #: Bits of a record's shingle bitmap.
 BITMAP = 64
-#: Records of a group whose pairs are tested in one task; larger groups are cut to chunks of this.
+#: Document frequency up to which all pairs of a shingle's records are tested.
 GROUP = 256
 _LOW = np.uint64((1 << 32) - 1)
 
@@ -144,7 +145,15 @@ def _group_pairs(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return a, a + 1 + step
 
 
-_PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("size", "<u4"), ("place", "<u4"), ("bits", "u1", (BITMAP // 8,))])
+_NUMBERS = ("low", "id", "size", "place", "hot", "frequent")
+_PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("size", "<u4"), ("place", "<u4"), ("hot", "u1"), ("frequent", "u1"), ("bits", "u1", (BITMAP // 8,))])
+
+
+def _ranges(h: np.ndarray) -> list[tuple[int, int, int]]:
+    """Range, start and end of every run of ascending hashes that lie in one range."""
+    r = (h >> np.uint64(32)).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+    return list(zip(r[start].tolist(), start.tolist(), np.r_[start[1:], len(r)].tolist(), strict=False))
 
 
 def _shared(size: np.ndarray, t: float) -> np.ndarray:
@@ -154,16 +163,16 @@ def _shared(size: np.ndarray, t: float) -> np.ndarray:
 
 def _pack_rows(rows: np.ndarray) -> bytes:
     """Compressed by column; the bytes of numbers lie apart, so their leading zeros cost nothing."""
-    columns = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in ("low", "id", "size", "place")]
+    columns = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in _NUMBERS]
     return _zip(np.frombuffer(b"".join(columns), dtype=np.uint8)) + rows["bits"].tobytes()
 
 
 def _unpack_rows(blob: bytes, n: int) -> np.ndarray:
     bits = n * (BITMAP // 8)
-    widths = [_PACKED[c].itemsize for c in ("low", "id", "size", "place")]
+    widths = [_PACKED[c].itemsize for c in _NUMBERS]
     raw, at = _unzip(blob[: len(blob) - bits], n * sum(widths), np.uint8), 0
     rows = np.zeros(n, dtype=_PACKED)
-    for c, w in zip(("low", "id", "size", "place"), widths, strict=True):
+    for c, w in zip(_NUMBERS, widths, strict=True):
         rows[c] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(_PACKED[c]).ravel()
         at += n * w
     rows["bits"] = np.frombuffer(blob[len(blob) - bits :], dtype=np.uint8).reshape(n, -1)
@@ -214,21 +223,23 @@ def _shared_enough(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[first][keep], "b": b[first][keep]})
 
 
-def _first_pairs(pdf: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
-    """Candidates of one range: all of small groups, those with the first record of larger ones, and whether any was."""
+def _first_pairs(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Candidates of one range: all pairs of rare shingles, of frequent ones those with the first record, and whether any was."""
     rows, first, sizes = _group_rows(pdf)
     rec, size, place, bits = rows["id"], rows["size"], rows["place"], rows["bits"]
-    least = _shared(size.astype(np.int64), t)
+    # What a pair must share by rare shingles: frequent ones can make up for the rest.
+    least, hot = _shared(size.astype(np.int64), t), rows["hot"].astype(np.int64)
     got = []
-    small = (sizes > 1) & (sizes <= group)
+    many = rows["frequent"][first].astype(bool) if len(rows) else np.zeros(0, bool)
+    small = (sizes > 1) & ~many
     # So many pairs at once that they fit in memory.
     turn = np.cumsum(sizes[small] * (sizes[small] - 1) // 2) >> 19
     for part in np.unique(turn):
         a, b = _group_pairs(first[small][turn == part], sizes[small][turn == part])
         ok = _candidates(rec, size, place, bits, a, b, t)
         a, b = a[ok], b[ok]
-        got.append((rec[a], rec[b], np.minimum(least[a], least[b])))
-    large = np.flatnonzero(sizes > group)
+        got.append((rec[a], rec[b], np.maximum(1, np.minimum(least[a], least[b]) - np.minimum(hot[a], hot[b]))))
+    large = np.flatnonzero((sizes > 1) & many)
     for g in large:
         b = np.arange(first[g] + 1, first[g] + sizes[g])
         ok = _candidates(rec, size, place, bits, np.full(len(b), first[g]), b, t)
@@ -239,12 +250,12 @@ def _first_pairs(pdf: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
     return _pair_frame(got)
 
 
-def _cross_pairs(pdf: pd.DataFrame, labels: pd.DataFrame, t: float, group: int) -> pd.DataFrame:
-    """Candidates of the larger groups of one range between records of different components."""
+def _cross_pairs(pdf: pd.DataFrame, labels: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Candidates of the frequent shingles of one range between records of different components."""
     rows, first, sizes = _group_rows(pdf)
     known = pd.Series(labels.label.to_numpy(), index=labels.id.to_numpy())
     got = []
-    for g in np.flatnonzero(sizes > group):
+    for g in np.flatnonzero((sizes > 1) & (rows["frequent"][first].astype(bool) if len(rows) else False)):
         own = rows[first[g] : first[g] + sizes[g]]
         rec, size, place, bits = own["id"], own["size"], own["place"], own["bits"]
         label = known.reindex(rec).fillna(pd.Series(rec, index=rec).groupby(level=0).first().reindex(rec)).to_numpy(dtype=np.int64)
@@ -268,7 +279,6 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
     n_blocks = max(1, -(-n_rows // BLOCK_ROWS))
     range_bits = max(4, math.ceil(math.log2(max(1, n_rows * 96 / RANGE_SHINGLES))))
     blocks = df.select("id", "text").mapInArrow(_deal_texts(n_blocks), "block int, n int, size bigint, blob binary")
-    edges_of_ranges = np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(32)
 
     def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
         h, _ = _sets(_once(pdf).text.tolist(), width, range_bits)
@@ -276,22 +286,18 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.r_[start, len(h)])
         h = h[start]
-        edge = np.searchsorted(h, edges_of_ranges)
         rows = []
-        for r in range(1 << range_bits):
-            i, j = edge[r], edge[r + 1]
-            if j > i:
-                rows.append((int(pdf.block.iloc[0]), r, j - i, _zip((h[i:j] & _LOW).astype(np.uint32)), _zip(np.minimum(count[i:j], 65535).astype(np.uint16))))
+        for r, i, j in _ranges(h):
+            rows.append((int(pdf.block.iloc[0]), r, j - i, _zip((h[i:j] & _LOW).astype(np.uint32)), _zip(count[i:j].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["block", "range", "n", "low", "count"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         low = np.concatenate([_unzip(b, n, np.uint32) for b, n in zip(pdf.low, pdf.n, strict=True)])
-        c = np.concatenate([_unzip(b, n, np.uint16) for b, n in zip(pdf["count"], pdf.n, strict=True)])
+        c = np.concatenate([_unzip(b, n, np.uint32) for b, n in zip(pdf["count"], pdf.n, strict=True)])
         distinct, inverse = np.unique(low, return_inverse=True)
-        total = np.bincount(inverse, weights=c, minlength=len(distinct))[inverse]
-        total = np.minimum(total, 65535).astype(np.uint16)
+        total = np.bincount(inverse, weights=c, minlength=len(distinct))[inverse].astype(np.uint32)
         edge = np.r_[0, np.cumsum(pdf.n.to_numpy())]
-        return pd.DataFrame({"block": pdf.block.to_numpy(), "range": pdf.range.to_numpy(), "n": pdf.n.to_numpy(), "df": [_zip(total[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]})
+        return pd.DataFrame({"block": pdf.block.to_numpy(), "range": pdf.range.to_numpy(), "n": pdf.n.to_numpy(), "df": [_planes(total[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]})
 
     handed = blocks.groupBy("block").applyInPandas(hand_out, "block int, range int, n int, low binary, count binary")
     counted = handed.groupBy("range").applyInPandas(count, "block int, range int, n int, df binary")
@@ -304,7 +310,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         ids, n = recs.id.to_numpy(), len(recs)
         h, doc = _sets(recs.text.tolist(), width, range_bits)
         right = right.sort_values("range")
-        freq = np.concatenate([_unzip(b, m, np.uint16) for b, m in zip(right["df"], right.n, strict=True)])
+        freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(right["df"], right.n, strict=True)])
         f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
         size = np.bincount(doc, minlength=n)
         # Rarest first; equally rare shingles in the order of their hash.
@@ -312,19 +318,24 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         sh, sf, sd = h[order], f[order], doc[order]
         place = np.arange(len(sh)) - (np.cumsum(size) - size)[sd]
         prefix = (place < (size - _need(size, t) + _shared(size, t))[sd]) & (sf > 1)
+        frequent = prefix & (sf > group)
+        hot = np.bincount(sd[frequent], minlength=n)
+        # Frequent shingles matter to those records only that can share all they must by frequent ones.
+        prefix &= ~frequent | (hot >= _shared(np.ceil(t * size - 1e-9).astype(np.int64), t))[sd]
         bits = _bitmaps(h, doc, n)
         ph, pd_, pp = sh[prefix], sd[prefix], place[prefix]
         by = np.argsort(ph, kind="stable")
         ph, pd_, pp = ph[by], pd_[by], pp[by]
         packed = np.zeros(len(ph), dtype=_PACKED)
         packed["low"], packed["id"], packed["size"], packed["place"], packed["bits"] = ph & _LOW, ids[pd_], size[pd_], pp, bits[pd_]
-        edge = np.searchsorted(ph, edges_of_ranges)
-        some = np.flatnonzero(edge[1:] > edge[:-1])
-        return pd.DataFrame({"range": some.astype(np.int32), "n": (edge[some + 1] - edge[some]).astype(np.int32), "blob": [_pack_rows(packed[edge[r] : edge[r + 1]]) for r in some]})
+        packed["hot"], packed["frequent"] = np.minimum(hot, 255)[pd_], (sf > group)[prefix][by]
+        found = _ranges(ph)
+        return pd.DataFrame({"range": np.array([r for r, _, _ in found], np.int32), "n": np.array([j - i for _, i, j in found], np.int32), "blob": [_pack_rows(packed[i:j]) for _, i, j in found]})
 
     pair_schema = "a bigint, b bigint, found int, least int"
-    packed = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, n int, blob binary")
-    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _pack_pairs(_first_pairs(pdf, t, group), n_blocks), "bucket int, n int, a binary, b binary, found binary, least binary")
+    staged = Stage(blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, n int, blob binary"))
+    packed = staged.df
+    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _pack_pairs(_first_pairs(pdf, t), n_blocks), "bucket int, n int, a binary, b binary, found binary, least binary")
     found = Stage(per_range.groupBy("bucket").applyInPandas(_shared_enough, "a bigint, b bigint"))
     links = [_verified(df, found.df.where("a <> b"), width, t)]
     if found.df.where("a = -1 and b = -1").limit(1).count():
@@ -336,7 +347,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         who = in_range.mapInPandas(_record_ranges, "range int, id bigint").distinct().join(labels, "id").select("range", "id", "label")
 
         def cross(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _cross_pairs(left, right, t, group)
+            return _cross_pairs(left, right, t)
 
         more = Stage(in_range.groupBy("range").cogroup(who.groupBy("range")).applyInPandas(cross, pair_schema).select("a", "b").distinct())
         links.append(_verified(df, more.df, width, t))
@@ -344,6 +355,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         for s in (*forest, *cuts):
             s.drop()
     found.drop()
+    staged.drop()
     return links
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecframe.llm.shingles import alnum_table
+from vecframe.llm.vectors import fresh
 
 #: Strengths of a cut: before a heading or after a blank line, at a line end, after a sentence, after a clause,
 #: at white space, between two characters of a script without spaces, inside a word, inside a character.
@@ -163,10 +164,12 @@ def split_oversized(
     lim = limits.select(F.col(group).alias("_g"), F.col(limit).cast("int").alias("_max"), F.col(overlap).cast("int").alias("_lap"))
     lim = lim.where("_g is not null and _max is not null").groupBy("_g").agg(F.min(F.struct("_max", "_lap")).alias("_m")).select("_g", "_m._max", "_m._lap")
     rows = df.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.col(text).cast("string").alias("_t"), (F.col(version) if version else F.lit(0)).alias("_v"))
+    if version:
+        rows = fresh(rows, "_k", "_v", keep_null=True)
     over = rows.join(lim, "_g").where(F.length("_t") > F.col("_max"))
     if version:
-        over = over.groupBy("_k").agg(F.max_by(F.struct("_t", "_max", "_lap"), "_v").alias("_r")).select("_k", "_r.*")
-        over = over.where("_t is not null")
+        # Rows of one key and version: any one of them.
+        over = over.groupBy("_k").agg(F.max(F.struct("_t", "_max", "_lap")).alias("_r")).select("_k", "_r.*")
     schema = T.StructType(
         [T.StructField(key, df.schema[key].dataType)]
         + [T.StructField(c, T.IntegerType()) for c in ("piece", "start_char", "end_char")]

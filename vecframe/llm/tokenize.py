@@ -16,11 +16,12 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,14 +46,14 @@ class Node:
 
 
 class Encoder:
-    """Encodes texts by the vocabulary in ``path`` (base64 token and rank per line)."""
+    """Encodes texts by the vocabulary in ``path``, or in ``raw`` (base64 token and rank per line)."""
 
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, leaf: int = LEAF, window: int = WINDOW) -> None:
+    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN, leaf: int = LEAF, window: int = WINDOW, raw: bytes | None = None) -> None:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        raw = raw if raw is not None else Path(path).read_bytes()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.regex = regex.compile(pattern)
         self.bytes = {v: k for k, v in ranks.items()}
@@ -133,10 +134,19 @@ class Encoder:
         return join(0, len(ids)).decode("utf-8")
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, leaf: int = LEAF) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(path, leaf=leaf)
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, leaf: int, shipped: Broadcast) -> Encoder:
+    """One encoder per Python worker and vocabulary, from the bytes the driver shipped."""
+    if (path, leaf) not in _ENCODERS:
+        _ENCODERS[path, leaf] = Encoder(path, leaf=leaf, raw=shipped.value)
+    return _ENCODERS[path, leaf]
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary file's bytes (under a megabyte or two), read on the driver: executors need no file of theirs."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
@@ -146,9 +156,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     and repeated rows are kept as they are; other columns are not read. One pass over the rows, no shuffle.
     """
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    sent = shipped(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, leaf)
+        enc = encoder(vocabulary, leaf, sent)
         for batch in batches:
             lists = [np.asarray(enc.encode(t), dtype=np.int32) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
@@ -161,11 +172,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
 
 
 def token_counts(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of each text (0 for null), Arrow-batched."""
+    """Number of tokens of each text (0 for null), Arrow-batched; for the active session."""
+    sent = shipped(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), vocabulary)
 
     @F.pandas_udf("int")
     def count(s):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, LEAF, sent)
         return s.map(lambda t: len(enc.encode(t)))
 
     return count(text)

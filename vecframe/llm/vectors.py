@@ -19,17 +19,18 @@ SAMPLE_ROWS = 16384
 MOST_CENTRES = 1024
 
 
-def fresh(df: DataFrame, key: str, version: str | None) -> DataFrame:
+def fresh(df: DataFrame, key: str, version: str | None, keep_null: bool = False) -> DataFrame:
     """Rows without those that a later ``version`` of their key replaces; ties stay, and null versions come first.
 
     Only keys that occur more than once take part in the join; they are counted, and the wide rows are shuffled only
-    if those are too many to broadcast.
+    if those are too many to broadcast. Rows without a key are left out unless ``keep_null``.
     """
-    df = df.where(F.col(key).isNotNull())
+    if not keep_null:
+        df = df.where(F.col(key).isNotNull())
     if version is None:
         return df
-    again = hinted(Stage(df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"), F.max(version).alias("_last")).where("_n > 1").drop("_n")))
-    return df.join(again, F.col(key) == F.col("_k"), "left").where(F.col("_k").isNull() | F.col(version).eqNullSafe(F.col("_last"))).drop("_k", "_last")
+    again = hinted(Stage(df.groupBy(F.col(key).alias("_fresh_key")).agg(F.count("*").alias("_fresh_n"), F.max(version).alias("_fresh_last")).where("_fresh_n > 1").drop("_fresh_n")))
+    return df.join(again, F.col(key) == F.col("_fresh_key"), "left").where(F.col("_fresh_key").isNull() | F.col(version).eqNullSafe(F.col("_fresh_last"))).drop("_fresh_key", "_fresh_last")
 
 
 def usable(vector: str, dim: int):
