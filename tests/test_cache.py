@@ -415,3 +415,34 @@ def test_named_caches():
     assert configure("x") is get_cache("x")
     done, failed = get_cache("x").warm([lambda: 1, lambda: 1 / 0])
     assert done == 1 and isinstance(failed[0], ZeroDivisionError)
+
+
+def test_overwriting_keeps_a_key_in_its_place():
+    t = LocalTier(max_bytes=1 << 20, max_entries=2, shards=1, policy_name="fifo")
+    for k in ("a", "b", "a", "c"):
+        t.set_entry(k, Entry(k, 10, 0.0, None, 0.0))
+    assert sorted(t.keys()) == ["b", "c"] and t.bytes_used == 20
+    arc = LocalTier(max_bytes=1 << 20, max_entries=2, shards=1, policy_name="arc")
+    for _ in range(3):
+        arc.set_entry("a", Entry("a", 10, 0.0, None, 0.0))
+    assert arc.keys() == ["a"] and arc.bytes_used == 10 and arc.evictions == 0
+
+
+def test_the_janitor_ticks_and_stops():
+    c = ResultCache({"JANITOR": {"INTERVAL": 0.01}})
+    until = time.monotonic() + 5
+    while c.janitor.ticks < 2 and time.monotonic() < until:
+        time.sleep(0.01)
+    assert c.janitor.ticks >= 2
+    c.close()
+    assert ResultCache({"JANITOR": {"ENABLED": False}}).janitor is None
+
+
+def test_memory_in_use_falls_again():
+    from vecframe.cache.control import resident_bytes
+
+    before = resident_bytes()
+    block = bytearray(256 << 20)
+    held = resident_bytes()
+    del block
+    assert held - before > 200 << 20 and resident_bytes() < held - (200 << 20)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +146,26 @@ def test_inverted_file_recall(vectors, kind, shortlist, least):
     assert hit / 60 >= least
 
 
+@pytest.mark.parametrize(("kind", "shortlist"), [("FLAT", None), ("SQ8", None), ("PQ", 500), ("PQ", 1000)])
+def test_registered_indexes_find_nine_of_ten(spark, kind, shortlist):
+    """With the parameters of the catalogue, on the whole largest table: every hundredth vector against brute force."""
+    path = Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    e = spark.read.parquet(str(path))
+    rows = e.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    ivf = I.InvertedFile.build(e, "vec_id", "embedding", 32, kind)
+    ivf.rows = ivf.rows.cache()
+    hit = asked = 0
+    for i in range(0, len(rows), 100):
+        want = {rows[j].vec_id for j in np.argsort(-_brute(x, x[i], "COSINE"), kind="stable")[:10]}
+        hit += len(want & {r.vec_id for r in ivf.search(x[i].tolist(), 10, shortlist=shortlist).collect()})
+        asked += 10
+    ivf.rows.unpersist()
+    assert hit / asked >= 0.9
+
+
 def test_lsh_and_descriptors(vectors):
     x, df = vectors
     got = [r.id for r in I.lsh_top_k(df, "id", "embedding", x[3].tolist(), 3, tables=6, bits=3).collect()]

@@ -316,3 +316,75 @@ def test_stream_policy(trace, spark, tmp_path):
     jobs.run_to_end(jobs.trace_through(stream, "k", "ts", "lru", 6, 1), "hits", str(tmp_path / "cp"))
     got = spark.table("hits").agg(F.sum("accesses"), F.sum("hits")).first()
     assert tuple(got) == (60, replay("lru", 6, [str(r.k) for r in df.orderBy("n").collect()]))
+
+
+def test_a_model_turns_caching_on_and_counts_are_cached(docs, catalog):
+    q = docs.objects.filter(score__gte=0.0)
+    before = catalog.cache.report().get("hits", 0)
+    assert q.count() == q.count() == 3 and len(q.rows()) == len(q.rows()) == 3
+    assert catalog.cache.report().get("hits", 0) == before + 2
+    assert q.no_cache().count() == 3 and catalog.cache.report().get("hits", 0) == before + 2
+    docs.insert([dict(title="d", embedding=[0, 0, 1, 0])])
+    assert q.count() == 4
+
+
+def test_a_cached_batch_answers_every_query(docs):
+    q = docs.objects.search([[1, 0, 0, 0], [0, 1, 0, 0]], limit=2)
+    first, again = q.rows(), q.rows()
+    assert first == again and sorted((r["query_id"], r["rank"]) for r in first) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_frames_are_never_cut(spark):
+    from vecframe.plans.spec import DEFAULT_LIMIT, Query
+
+    q = Query.over(spark.range(DEFAULT_LIMIT + 10), "id")
+    assert q.to_df().count() == DEFAULT_LIMIT + 10 and len(q.rows()) == DEFAULT_LIMIT
+
+
+def test_binary_vectors_are_searched_by_the_builder(spark):
+    from vecframe.errors import SearchError
+    from vecframe.plans.spec import Query
+
+    rows = [(i, bytearray([i] * 8), f"t{i}") for i in range(8)] + [(98, None, "n"), (99, bytearray(b"xy"), "s")]
+    q = Query.over(spark.createDataFrame(rows, "id int, h binary, title string"), "id", ("h",))
+    assert [(r["id"], r["score"]) for r in q.search(bytes([3] * 8), limit=3).rows()] == [(3, 0.0), (1, 8.0), (2, 8.0)]
+    assert [r["title"] for r in q.filter(id__gt=3).search(bytes([3] * 8), limit=1, output_fields=["title"]).rows()] == ["t7"]
+    assert q.search(bytes([3] * 8), limit=1, metric_type="JACCARD").rows()[0]["score"] == 0.0
+    got = q.search([bytes([0] * 8), bytes([7] * 8)], limit=2).rows()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(0, 1, 0), (0, 2, 1), (1, 1, 7), (1, 2, 3)]
+    with pytest.raises(SearchError):
+        q.search([1.0, 2.0], limit=1).rows()
+
+
+def test_renaming_takes_aliases_along(docs, catalog):
+    catalog.create_alias("now", "doc")
+    catalog.rename("doc", "paper")
+    assert catalog.describe_alias("now") == {"alias": "now", "collection": "paper", "database": "default"}
+    assert catalog.collection("now", Doc).objects.count() == 3
+
+
+def test_writes_touch_only_parts_that_hold_a_key(docs, spark):
+    docs.create_partition("other")
+    docs.insert([dict(title="o", embedding=[0, 0, 0, 1])], partition="other")
+    kept = {p["path"] for p in docs.manifest("Strong")["parts"] if p["partition"] == "other"}
+    assert docs.delete_by_ids([1]) == 1 and docs.objects.filter(title="b").delete() == 1 and docs.delete_by_ids([777]) == 0
+    assert kept <= {p["path"] for p in docs.manifest("Strong")["parts"]} and docs.stats() == {"row_count": 2}
+    twice = spark.createDataFrame([(3, "x", 0.0, [1.0, 0.0, 0.0, 0.0], 1), (3, "y", 0.0, [1.0, 0.0, 0.0, 0.0], 2)], "id long, title string, score float, embedding array<float>, n int")
+    with pytest.raises(ValidationError):
+        docs.upsert(twice.drop("n"))
+    assert [len(r["ids"]) for r in docs.bulk_create([ROWS[0]] * 5, batch_size=2)] == [2, 2, 1]
+
+
+def test_an_unfiltered_index_search_reads_no_rows_of_the_collection(catalog, spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((60, 4))
+    catalog.create(T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType()))]), "ivf", "id")
+    c = catalog.collection("ivf")
+    c.insert(spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "id long, v array<float>"))
+    c.create_index(IndexSpec("v", "IVF_FLAT", params={"nlist": 6}), build=True)
+    q = c.objects
+    plain = q.search(x[0].tolist(), "v", 3).to_df()._jdf.queryExecution().optimizedPlan().toString()
+    some = q.filter(id__gt=5).search(x[0].tolist(), "v", 3).to_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plain and "Join" in some
+    assert q.search(x[0].tolist(), "v", 3).rows()[0]["id"] == 0

@@ -23,6 +23,7 @@ DEFAULTS: dict[str, Any] = {
     "SEMANTIC": {"ENABLED": False, "THRESHOLD": 0.97, "MAX_VECTORS": 20_000, "METRIC": "COSINE", "RERANK": True, "OVERFETCH": 3},
     "STAMPEDE": {"ENABLED": True, "TIMEOUT": 5},
     "VERSIONING": {"REFRESH": 5},
+    "JANITOR": {"ENABLED": True, "INTERVAL": 30, "MEMORY_LIMIT": 0},
     "STATS": {"WINDOW": 300},
 }
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
@@ -55,6 +56,7 @@ def settings(given: dict[str, Any] | None = None) -> dict[str, Any]:
     problems = [f"no setting {k}" for k in s if k not in DEFAULTS]
     s["L1"]["MAX_BYTES"] = parse_size(s["L1"]["MAX_BYTES"])
     s["MAX_ENTRY_BYTES"] = parse_size(s["MAX_ENTRY_BYTES"])
+    s["JANITOR"]["MEMORY_LIMIT"] = parse_size(s["JANITOR"]["MEMORY_LIMIT"])
     if not 0 < s["L1"]["LOW_WATERMARK"] < s["L1"]["HIGH_WATERMARK"] <= 1:
         problems.append("the low watermark lies below the high one, both in (0, 1]")
     if not s["L1"]["MAX_BYTES"] and not s["L1"]["MAX_ENTRIES"]:
@@ -71,6 +73,8 @@ def settings(given: dict[str, Any] | None = None) -> dict[str, Any]:
         problems.append("overfetch is 1 at least")
     if not 0 <= s["TTL_JITTER"] < 1:
         problems.append("the jitter lies in [0, 1)")
+    if s["JANITOR"]["INTERVAL"] <= 0:
+        problems.append("the janitor's interval is positive")
     if s["TTL"] is not None and s["TTL"] <= 0:
         problems.append("the ttl is positive")
     if problems:

@@ -10,7 +10,7 @@ from typing import Any
 
 from vecframe.cache import keys as K
 from vecframe.cache.config import semantic_options, settings
-from vecframe.cache.control import Events, LoadMemory, SingleFlight, Versions
+from vecframe.cache.control import Events, Janitor, LoadMemory, MemoryGovernor, SingleFlight, Versions
 from vecframe.cache.semantic import SemanticIndex, VectorTable, rerank
 from vecframe.cache.stats import CacheStats
 from vecframe.cache.tiers import Breaker, Entry, FolderTier, LocalTier, Tier, TieredTier, estimate_size
@@ -46,6 +46,13 @@ class ResultCache:
         self.loads = LoadMemory()
         self.buckets: dict[str, SemanticIndex] = {}
         self.vectors: dict[tuple[str, str], VectorTable] = {}
+        self.governor = MemoryGovernor(self.local, c["JANITOR"]["MEMORY_LIMIT"] or None)
+        self.janitor = Janitor(self.governor.tick, c["JANITOR"]["INTERVAL"]) if c["JANITOR"]["ENABLED"] else None
+
+    def close(self) -> None:
+        """Stop the housekeeping."""
+        if self.janitor is not None:
+            self.janitor.stop()
 
     # --- plain reads
 
@@ -120,7 +127,7 @@ class ResultCache:
         near = options["ENABLED"] and single
         found = None if refresh else self.lookup(key)
         if found is not None:
-            return self._answer(found[0][:limit], True, found[1], key, began)
+            return self._answer(_best(found[0], limit), True, found[1], key, began)
         bucket = K.bucket_id(self.alias, collection, version, field, metric, ctx)
         if near and not refresh and (hit := self._near(bucket, collection, field, vector, metric, options, limit, key_column)) is not None:
             return self._answer(hit[0], True, "semantic", key, began, hit[1])
@@ -134,7 +141,7 @@ class ResultCache:
         if near:
             index = self.buckets.setdefault(bucket, SemanticIndex(len(vector), metric, options["MAX_VECTORS"]))
             index.add(key, vector)
-        return self._answer(value[:limit], False, "miss", key, began)
+        return self._answer(_best(value, limit), False, "miss", key, began)
 
     def _near(self, bucket: str, collection: str, field: str, vector: Sequence[float], metric: str, options: dict[str, Any], limit: int, key_column: str) -> tuple[list[dict[str, Any]], float] | None:
         index = self.buckets.get(bucket)
@@ -149,7 +156,7 @@ class ResultCache:
         table = self.vectors.get((collection, field))
         if options["RERANK"] and table is not None and rows:
             rows = rerank(rows, vector, table, key_column, limit, metric)
-        return rows[:limit], match[1]
+        return _best(rows, limit), match[1]
 
     def _hoist(self, collection: str, field: str, rows: list[dict[str, Any]], key_column: str, keep: bool) -> list[dict[str, Any]]:
         """Vectors of an answer to the vector table."""
@@ -197,6 +204,18 @@ class ResultCache:
         return self.stats.report() | {f"l1_{k}": v for k, v in self.local.stats().items()} | {"semantic_vectors": sum(map(len, self.buckets.values()))}
 
 
+def _best(rows: list[dict[str, Any]], limit: int) -> list[dict[str, Any]]:
+    """The first ``limit`` rows, of a batch answer those of each query."""
+    taken: dict[Any, int] = {}
+    out = []
+    for r in rows:
+        q = r.get("query_id")
+        taken[q] = taken.get(q, 0) + 1
+        if taken[q] <= limit:
+            out.append(r)
+    return out
+
+
 def _empty(value: Any) -> bool:
     """Nothing found: no rows, groups without rows, or a count of zero."""
     if value is None or value == 0:
@@ -212,8 +231,10 @@ _CACHES: dict[str, ResultCache] = {}
 def configure(alias: str = "default", config: dict[str, Any] | None = None) -> ResultCache | None:
     """Make (or replace) a named cache; None if it is disabled."""
     cache = ResultCache(config, alias)
-    _CACHES.pop(alias, None)
+    if (old := _CACHES.pop(alias, None)) is not None:
+        old.close()
     if not cache.config["ENABLED"]:
+        cache.close()
         return None
     _CACHES[alias] = cache
     return cache

@@ -24,6 +24,9 @@ from vecframe.functions import metrics as M
 from vecframe.operators import search as S
 
 FIT_ROWS = 16_384
+#: Share of an inverted file's lists that a search reads unless told otherwise: scattered vectors need so many for a
+#: recall of 0.9 (README).
+PROBE_SHARE = 0.6
 #: Rows below which AUTOINDEX scans exactly.
 AUTO_EXACT = 100_000
 
@@ -163,12 +166,13 @@ class InvertedFile:
         d = ((self.centres - q) ** 2).sum(axis=1)
         return [int(c) for c in np.argsort(d, kind="stable")[:nprobe]]
 
-    def search(self, query: Sequence[float], k: int, nprobe: int = 8, metric_name: str = "COSINE", shortlist: int | None = None, where: Any = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, nprobe: int | None = None, metric_name: str = "COSINE", shortlist: int | None = None, where: Any = None) -> DataFrame:
         """``(key, score)`` among the nearest clusters, best first.
 
         Quantised rows are ranked by their codes first; the ``shortlist`` best are scored exactly (none: only those
-        k, with the score of the code).
+        k, with the score of the code). Without ``nprobe`` a ``PROBE_SHARE`` of the clusters is read.
         """
+        nprobe = nprobe or math.ceil(PROBE_SHARE * len(self.centres))
         near = self.rows.where(F.col("cluster").isin(*self.probes(query, nprobe)))
         if where is not None:
             near = near.where(where)
@@ -215,10 +219,14 @@ def sq8_codes(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return long.join(bounds, "component").select(key, "component", code.cast("int").alias("code"))
 
 
-def lsh_top_k(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int, tables: int = 8, bits: int = 6, seed: int = 1, metric_name: str = "COSINE") -> DataFrame:
+def lsh_planes(tables: int, bits: int, dim: int, seed: int = 1) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+
+
+def lsh_top_k(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int, tables: int = 16, bits: int = 4, seed: int = 1, metric_name: str = "COSINE") -> DataFrame:
     """Rows that share a signature of random hyperplanes with the query in at least one table, scored exactly."""
     q = np.asarray(query, dtype=np.float64)
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, len(q)))
+    planes = lsh_planes(tables, bits, len(q), seed)
     want = (planes @ q > 0).astype(int)
     hit = F.lit(False)
     for t in range(tables):
@@ -238,21 +246,39 @@ def binary_top_k(df: DataFrame, key: str, vector: str, query: bytes, k: int, met
     return fits.select(key, score.cast("double").alias("score")).orderBy("score", key).limit(k)
 
 
+def binary_batch_top_k(df: DataFrame, queries: Sequence[bytes], k: int, key: str, vector: str, metric_name: str = "HAMMING") -> DataFrame:
+    """``(query_id, rank, key, score)``: one pass over the rows, k of each query kept a task before they are shuffled."""
+    if not queries or len({len(q) for q in queries}) > 1:
+        raise IndexError_("binary queries have one length")
+    size = len(queries[0])
+    m = M.metric(metric_name)
+    words = M.words_of(F.col(vector), size)
+    of = lambda q: F.array(*[F.lit(int.from_bytes(q[i : i + 8], "big", signed=True)).cast("long") for i in range(0, size, 8)])
+    scores = F.array(*[F.struct(F.lit(i).alias("query_id"), m.column(words, of(q)).cast("double").alias("score")) for i, q in enumerate(queries)])
+    rows = df.where(F.octet_length(vector) == size).select(key, F.explode(scores).alias("s")).select("s.query_id", key, "s.score").where("score is not null")
+    w = Window.partitionBy("query_id").orderBy("score", key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def sampled_bits(size: int, bits: int, tables: int, seed: int = 1) -> list[list[int]]:
+    """The places of each table's bits in a vector of ``size`` bytes, from the left."""
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(size * 8)[:bits].tolist() for _ in range(tables)]
+
+
 def binary_buckets(df: DataFrame, key: str, vector: str, size: int, bits: int = 12, tables: int = 8, seed: int = 1) -> DataFrame:
     """``(key, vector, bucket)``: one bucket per table, of sampled bits; equal bits share a bucket."""
-    rng = np.random.default_rng(seed)
     words = M.words_of(F.col(vector), size)
     buckets = []
-    for t in range(tables):
-        at = rng.permutation(size * 8)[:bits]
+    for t, at in enumerate(sampled_bits(size, bits, tables, seed)):
         value = F.lit(0).cast("long")
-        for i, b in enumerate(at.tolist()):
+        for i, b in enumerate(at):
             value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.get(words, F.lit(b // 64)), int(63 - b % 64)).bitwiseAND(F.lit(1).cast("long")), i))
         buckets.append(value + F.lit(t << 40))
     return df.where(F.octet_length(vector) == size).select(key, vector, F.explode(F.array(*buckets)).alias("bucket"))
 
 
-def binary_bucket_top_k(df: DataFrame, key: str, vector: str, query: bytes, k: int, metric_name: str = "HAMMING", bits: int = 12, tables: int = 8, seed: int = 1) -> DataFrame:
+def binary_bucket_top_k(df: DataFrame, key: str, vector: str, query: bytes, k: int, metric_name: str = "HAMMING", bits: int = 4, tables: int = 24, seed: int = 1) -> DataFrame:
     """Rows that share a bucket with the query, scored exactly; near ones share one with high probability."""
     size = len(query)
     asked = df.sparkSession.createDataFrame([(bytearray(query),)], "q binary").withColumn("n", F.lit(0))
@@ -266,11 +292,13 @@ def postings(df: DataFrame, key: str, vector: str, drop_ratio: float = 0.2) -> D
 
     ``most`` is the term's largest weight, an upper bound for skipping terms.
     """
-    rows = df.select(key, F.explode(vector).alias("term", "weight"), F.size(vector).alias("n"))
+    entries = F.map_entries(vector)
     if drop_ratio > 0:
-        w = Window.partitionBy(key).orderBy(F.abs("weight"), F.desc("term"))
-        rows = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") > F.floor(F.col("n") * drop_ratio))
-    rows = rows.select("term", key, "weight")
+        # Within the row: the smallest weights first, of equal ones the larger term.
+        by_weight = F.array_sort(F.transform(entries, lambda e: F.struct(F.abs(e["value"]).alias("a"), (-e["key"]).alias("t"), e["key"].alias("key"), e["value"].alias("value"))))
+        gone = F.floor(F.size(vector) * F.lit(drop_ratio)).cast("int")
+        entries = F.slice(by_weight, gone + 1, F.greatest(F.size(vector) - gone, F.lit(0)))
+    rows = df.where(F.size(vector) > 0).select(key, F.explode(entries).alias("e")).select(F.col("e.key").alias("term"), key, F.col("e.value").alias("weight"))
     most = rows.groupBy("term").agg(F.max(F.abs("weight")).alias("most"))
     return rows.join(most, "term")
 

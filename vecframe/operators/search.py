@@ -157,8 +157,9 @@ def rerank(candidates: DataFrame, embeddings: DataFrame, query: Sequence[float],
     m = metric(metric_name)
     have = embeddings.select(F.col(key), m.column(F.col(vector), vector_literal(query)).alias("_new"))
     both = candidates.join(have, key, "left")
-    rescored = F.count("_new").over(Window.partitionBy(F.lit(1)))
-    out = both.withColumn("_any", rescored > 0).withColumn("score", F.coalesce("_new", score))
+    # One row says whether any candidate was rescored.
+    some = both.agg((F.count("_new") > 0).alias("_any")).withColumn("_one", F.lit(1))
+    out = both.withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one").drop("_one").withColumn("score", F.coalesce("_new", score))
     better = F.col("score") if not m.higher_is_better else -F.col("score")
     old = F.col(position) if position else (-F.col(score) if m.higher_is_better else F.col(score))
     out = out.withColumn("_o", F.when(F.col("_any"), better).otherwise(old.cast("double")))

@@ -335,15 +335,15 @@ def _ivf(kind: str, shortlist: int | None) -> Make:
         e = _t(spark, d, "embeddings")
         (q,) = _ids(e, [0], "vec_id", "embedding")
         ivf = I.InvertedFile.build(e, "vec_id", "embedding", 32, kind)
-        return ivf.search(q, 10, 8, shortlist=shortlist).select("vec_id", F.round("score", 6).alias("score"))
+        return ivf.search(q, 10, shortlist=shortlist).select("vec_id", F.round("score", 6).alias("score"))
 
     return make
 
 
 _QUERIES["ivf_topk"] = _ivf("FLAT", None)
 _QUERIES["sq8_topk"] = _ivf("SQ8", None)
-_QUERIES["pq_topk"] = _ivf("PQ", None)
-_QUERIES["scann_topk"] = _ivf("PQ", 100)
+_QUERIES["pq_topk"] = _ivf("PQ", 500)
+_QUERIES["scann_topk"] = _ivf("PQ", 1000)
 
 
 @_query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY s DESC, vec_id LIMIT 10")
@@ -354,21 +354,47 @@ def ivf_all_probes(spark: SparkSession, d: str) -> DataFrame:
     return I.InvertedFile.build(e, "vec_id", "embedding", 32).search(q, 10, 32).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@_query()
+def _lsh_sql() -> str:
+    """Rows on the query's side of all planes of a table, scored exactly."""
+    planes = I.lsh_planes(16, 4, 64)
+    side = lambda v, p: f"list_dot_product({v}, [{', '.join(repr(float(x)) for x in p)}]) > 0"
+    hit = " OR ".join("(" + " AND ".join(f"(({side('e.v', p)}) = ({side('q.v', p)}))" for p in table) + ")" for table in planes)
+    vectors = "SELECT vec_id, embedding::DOUBLE[] AS v, embedding FROM embeddings"
+    return f"WITH e AS ({vectors}), q AS ({vectors} WHERE vec_id = 0) SELECT vec_id, round(s, 6) AS score FROM (SELECT e.vec_id, {_COS} AS s FROM e, q WHERE {hit}) ORDER BY s DESC, vec_id LIMIT 10"
+
+
+def _bucket_sql(bits: int, tables: int, of: str) -> list[str]:
+    """Expressions of the buckets of a binary column."""
+    return [" + ".join([f"(get_bit({of}::BIT, {b})::BIGINT << {i})" for i, b in enumerate(at)] + [f"({t}::BIGINT << 40)"]) for t, at in enumerate(I.sampled_bits(32, bits, tables))]
+
+
+def _bucket_rows_sql() -> str:
+    return f"SELECT bucket, count(*) AS rows FROM (SELECT unnest([{', '.join(_bucket_sql(12, 8, 'hash_vector'))}]) AS bucket FROM binary_hashes WHERE octet_length(hash_vector) = 32) GROUP BY bucket"
+
+
+def _bucket_topk_sql() -> str:
+    ours, theirs = _bucket_sql(4, 24, "b.hash_vector"), _bucket_sql(4, 24, "q.hash_vector")
+    hit = " OR ".join(f"({a}) = ({b})" for a, b in zip(ours, theirs, strict=True))
+    return f"""WITH q AS (SELECT hash_vector FROM binary_hashes WHERE hash_vector IS NOT NULL ORDER BY id LIMIT 1)
+        SELECT b.id, round(bit_count(xor(b.hash_vector::BIT, q.hash_vector::BIT))::DOUBLE, 6) AS score
+        FROM binary_hashes b, q WHERE octet_length(b.hash_vector) = 32 AND ({hit}) ORDER BY score, b.id LIMIT 10"""
+
+
+@_query(_lsh_sql())
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
     (q,) = _ids(e, [0], "vec_id", "embedding")
-    return I.lsh_top_k(e, "vec_id", "embedding", q, 10, tables=6, bits=4).select("vec_id", F.round("score", 6).alias("score"))
+    return I.lsh_top_k(e, "vec_id", "embedding", q, 10, tables=16, bits=4).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@_query()
+@_query(_bucket_topk_sql())
 def binary_bucket_topk(spark: SparkSession, d: str) -> DataFrame:
     b = _t(spark, d, "binary_hashes")
     q = bytes(b.where("hash_vector is not null").orderBy("id").select("hash_vector").first()[0])
-    return I.binary_bucket_top_k(b, "id", "hash_vector", q, 10, bits=6).select("id", F.round("score", 6).alias("score"))
+    return I.binary_bucket_top_k(b, "id", "hash_vector", q, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@_query()
+@_query(_bucket_rows_sql())
 def binary_buckets(spark: SparkSession, d: str) -> DataFrame:
     b = I.binary_buckets(_t(spark, d, "binary_hashes"), "id", "hash_vector", 32)
     return b.groupBy("bucket").agg(F.count("*").alias("rows"))

@@ -9,16 +9,18 @@ from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecframe.errors import MultipleObjectsReturned, ObjectDoesNotExist, SearchError, ValidationError
 from vecframe.functions import predicates as P
 from vecframe.functions.metrics import metric
+from vecframe.operators import index as I
 from vecframe.operators import search as S
 
 if TYPE_CHECKING:
     from vecframe.sources.storage import Collection
 
-#: Rows of a read without a limit.
+#: Rows that a read without a limit collects; a DataFrame is never cut.
 DEFAULT_LIMIT = 16_384
 CONSISTENCY = ("Strong", "Bounded", "Session", "Eventually")
 
@@ -186,7 +188,7 @@ class Query:
         return df
 
     def to_df(self) -> DataFrame:
-        """The result as a lazy DataFrame."""
+        """The result as a lazy DataFrame; all of it, unless there is a limit."""
         if self.spec.hybrid:
             return self._hybrid_df(self.spec.hybrid)
         if self.spec.search:
@@ -195,14 +197,14 @@ class Query:
         df = df.select(*self.spec.fields) if self.spec.fields else self._visible(df)
         if self.spec.offset:
             df = df.offset(self.spec.offset)
-        return df.limit(DEFAULT_LIMIT if self.spec.limit is None else self.spec.limit)
+        return df if self.spec.limit is None else df.limit(self.spec.limit)
 
     def ordered(self, *columns: str | Column) -> DataFrame:
         """The rows in an order, limit and offset taken after it (a take-ordered, not a full sort)."""
         df = self.base().orderBy(*(columns or (self.key,)))
         if self.spec.offset:
             df = df.offset(self.spec.offset)
-        df = df.limit(DEFAULT_LIMIT if self.spec.limit is None else self.spec.limit)
+        df = df if self.spec.limit is None else df.limit(self.spec.limit)
         return df.select(*self.spec.fields) if self.spec.fields else self._visible(df)
 
     def _visible(self, df: DataFrame) -> DataFrame:
@@ -230,13 +232,16 @@ class Query:
         if isinstance(r.data, dict):
             hits = S.sparse_top_k(base, r.data, r.limit, self.key, vector)
             return S.hydrate(hits, base, self.key, extra) if extra else hits
+        if isinstance(base.schema[vector].dataType, T.BinaryType):
+            return self._binary_df(r, base, vector, extra)
         if _is_batch(r.data):
             spark = base.sparkSession
             queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.data)], "query_id int, query_vector array<double>")
             hits = S.batch_top_k(base, queries, r.limit, self.key, vector, "query_id", "query_vector", name)
             return S.hydrate(hits, base, self.key, extra) if extra else hits
         if self.collection is not None and (index := self.collection.usable_index(vector, name, dict(r.params))) is not None:
-            hits = index.search(base, self.key, vector, r.data, r.limit, name, dict(r.params))
+            restricted = self.spec.conditions or self.spec.partitions or self.spec.empty or r.expr
+            hits = index.search(base if restricted else None, self.key, vector, r.data, r.limit, name, dict(r.params))
         else:
             hits = S.top_k(base, self.key, vector, r.data, r.limit, name)
         if not extra:
@@ -244,6 +249,17 @@ class Query:
         order = S.ordered("score", metric(name).higher_is_better)
         return S.hydrate(hits, base, self.key, extra).orderBy(order, self.key)
 
+    def _binary_df(self, r: SearchRequest, base: DataFrame, vector: str, extra: list[str]) -> DataFrame:
+        """Hamming (the default) or Jaccard distances to a binary vector, or to each of a list of them."""
+        name = (r.metric_type or "HAMMING").upper()
+        if isinstance(r.data, bytes | bytearray):
+            hits = I.binary_top_k(base, self.key, vector, bytes(r.data), r.limit, name)
+            return S.hydrate(hits, base, self.key, extra).orderBy("score", self.key) if extra else hits
+        if not _is_batch(r.data) or not all(isinstance(v, bytes | bytearray) for v in r.data):
+            raise SearchError("a binary field is searched with bytes")
+        hits = I.binary_batch_top_k(base, [bytes(v) for v in r.data], r.limit, self.key, vector, name)
+        return S.hydrate(hits, base, self.key, extra) if extra else hits
+
     def _hybrid_df(self, h: HybridRequest) -> DataFrame:
         self._refuse_paging()
         legs, named = [], []
@@ -272,9 +288,16 @@ class Query:
 
     def rows(self) -> list[dict[str, Any]]:
         """The result, collected (a read without a limit has at most ``DEFAULT_LIMIT`` rows)."""
-        if self.collection is not None and self.collection.cache is not None and dict(self.spec.cache).get("enabled"):
+        if self.collection is not None and self.collection.cache is not None:
             return self.collection.cached_rows(self)
-        return [r.asDict(recursive=True) for r in self.to_df().collect()]
+        return self.fetched()
+
+    def fetched(self) -> list[dict[str, Any]]:
+        """The result, collected past the cache."""
+        df = self.to_df()
+        if self.spec.limit is None and not self.spec.search and not self.spec.hybrid:
+            df = df.limit(DEFAULT_LIMIT)
+        return [r.asDict(recursive=True) for r in df.collect()]
 
     def __len__(self) -> int:
         return len(self.rows())
@@ -315,6 +338,11 @@ class Query:
 
     def count(self) -> int:
         """Rows that filter and partitions leave; limit and offset do not matter."""
+        if self.collection is not None and self.collection.cache is not None:
+            return self.collection.cached_count(self)
+        return self.counted()
+
+    def counted(self) -> int:
         return int(self.count_df().first()[0])
 
     def exists_df(self) -> DataFrame:

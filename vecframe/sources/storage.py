@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import secrets
 import time
@@ -161,6 +162,11 @@ class Catalog:
         if not self.files.move(f"{self.root}/{name}", f"{self.root}/{to}"):
             raise CollectionError(f"cannot rename {name!r}")
         self._open.pop(name, None)
+        aliases = self._map("aliases")
+        if name in aliases.values():
+            self._save("aliases", {a: to if n == name else n for a, n in aliases.items()})
+        if self.cache is not None:
+            self.cache.clear(name)
 
     def describe(self, name: str) -> dict[str, Any]:
         m = self.collection(name).manifest("Strong")
@@ -192,6 +198,12 @@ class Catalog:
     def drop_alias(self, alias: str) -> None:
         self._save("aliases", {k: v for k, v in self._map("aliases").items() if k != alias})
 
+    def describe_alias(self, alias: str) -> dict[str, str]:
+        m = self._map("aliases")
+        if alias not in m:
+            raise CollectionError(f"no alias {alias!r}")
+        return {"alias": alias, "collection": m[alias], "database": self.database}
+
     def list_aliases(self, name: str | None = None) -> dict[str, str]:
         return {k: v for k, v in self._map("aliases").items() if name in (None, v)}
 
@@ -366,10 +378,10 @@ class Collection:
         return {"row_count": self.manifest("Strong")["row_count"]}
 
     def cached_rows(self, q: Query) -> list[dict[str, Any]]:
-        """Rows of a query through the result cache."""
+        """Rows of a query through the result cache, or past it where settings, model and query do not ask for it."""
         from vecframe.cache.config import options
 
-        produce = lambda: [r.asDict(recursive=True) for r in q.to_df().collect()]
+        produce = q.fetched
         level = q.spec.consistency
         opts = options(self.cache.config, self.model.options.cache if self.model else None, dict(q.spec.cache))
         if opts is None or (level == "Strong" and not self.cache.config["STRONG_CONSISTENCY"]):
@@ -383,12 +395,22 @@ class Collection:
             ctx = (replace(q.spec, search=replace(r, data=None), cache=()).fingerprint(),)
 
             def wider(n: int) -> list[dict[str, Any]]:
-                more = replace(q, spec=replace(q.spec, search=replace(r, limit=n, output_fields=tuple({*(r.output_fields or ()), field}))))
+                more = replace(q, spec=replace(q.spec, search=replace(r, limit=n, output_fields=tuple(dict.fromkeys((*(r.output_fields or ()), field))))))
                 return [row.asDict(recursive=True) for row in more.to_df().collect()]
 
             return self.cache.search(self.name, r.data, field, r.metric_type or q.default_metric, ctx, r.limit, wider if opts.get("semantic", {}) not in (None, False) else lambda n: produce(), self.key, opts.get("ttl_override"), dict(q.spec.cache).get("semantic"), bool(opts.get("refresh"))).value
         return self.cache.read(self.name, "h" if q.spec.hybrid else "q", (q.spec.fingerprint(),), produce, dict(q.spec.cache).get("ttl"), bool(opts.get("refresh"))).value
 
+    def cached_count(self, q: Query) -> int:
+        """The count of a query through the result cache, under the same rules as its rows."""
+        from vecframe.cache.config import options
+
+        opts = options(self.cache.config, self.model.options.cache if self.model else None, dict(q.spec.cache))
+        if opts is None or (q.spec.consistency == "Strong" and not self.cache.config["STRONG_CONSISTENCY"]):
+            return q.counted()
+        self.cache.versions.observe(self.name, self.version())
+        return int(self.cache.read(self.name, "c", (q.spec.fingerprint(),), q.counted, dict(q.spec.cache).get("ttl"), bool(opts.get("refresh"))).value)
+
     def cache_stats(self) -> dict[str, Any]:
         return self.cache.report() if self.cache is not None else {}
 
@@ -510,8 +532,14 @@ class Collection:
         out = rows.withColumn(key, (table[F.shiftright("_m", 33)] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_m")
         return out, at
 
-    def bulk_create(self, rows: DataFrame | Iterable[dict[str, Any] | Model], partition: str | None = None) -> dict[str, Any]:
-        return self.insert(rows, partition)
+    def bulk_create(self, rows: DataFrame | Iterable[dict[str, Any] | Model], partition: str | None = None, batch_size: int | None = None) -> dict[str, Any] | list[dict[str, Any]]:
+        """Append rows; with a ``batch_size`` rows given one by one go in as many writes, and each one's result is returned."""
+        if batch_size is None or isinstance(rows, DataFrame):
+            return self.insert(rows, partition)
+        if batch_size < 1:
+            raise ValidationError("a batch holds a row at least")
+        rows = list(rows)
+        return [self.insert(rows[i : i + batch_size], partition) for i in range(0, len(rows), batch_size)]
 
     def upsert(self, rows: DataFrame | Iterable[dict[str, Any] | Model], order: Sequence[Column | str] | None = None, partition: str | None = None) -> dict[str, Any]:
         """Insert or replace by key. Of rows of one key the last one given counts (for a DataFrame, the first by
@@ -520,7 +548,13 @@ class Collection:
         key, next_id = m["key"], m["next_id"]
         schema = T.StructType.fromJson(json.loads(m["schema"]))
         if isinstance(rows, DataFrame):
-            delta = mutate.last_of(rows, key, order) if order else rows.dropDuplicates([key])
+            # Written once: it is read several times below, and must be the same every time.
+            staged = f"{self.path}/tmp/{uuid.uuid4().hex}"
+            (mutate.last_of(rows, key, order) if order else rows).write.parquet(staged)
+            delta = self.spark.read.schema(rows.schema).parquet(staged)
+            if not order and not delta.groupBy(key).count().where("count > 1").isEmpty():
+                self.files.delete(staged)
+                raise ValidationError(f"the rows repeat a {key}: name the order that decides")
         else:
             rows = list(rows)
             data = encode_rows(self.model, rows) if self.model is not None else [tuple((r if isinstance(r, dict) else r.to_dict()).get(n) for n in schema.names) for r in rows]
@@ -537,6 +571,8 @@ class Collection:
         keep = [p for p in m["parts"] if p["partition"] not in touched]
         old = base.where(F.col(_PARTITION).isin(*touched)) if touched else base.limit(0)
         parts = self._write(mutate.upsert(old, delta, key), m)
+        if isinstance(rows, DataFrame):
+            self.files.delete(staged)
         rows_now = sum(p["rows"] for p in keep + parts)
         new = self._publish(m, parts=keep + parts, partitions=sorted({*m["partitions"], *(p["partition"] for p in parts)}), row_count=rows_now, next_id=next_id)
         return {"row_count": rows_now, "version": new["version"]}
@@ -554,12 +590,25 @@ class Collection:
         m = self.manifest("Strong")
         parts = [p for p in m["parts"] if not spec.partitions or p["partition"] in spec.partitions]
         base = self.df(spec.partitions, "Strong", True)
-        return self._rewrite(mutate.delete_where(base, P.to_column(spec.condition(), base.schema)), m, parts)
+        condition = P.to_column(spec.condition(), base.schema)
+        # Parts without a row to delete stay as they are.
+        touched = {r[0] for r in base.where(F.coalesce(condition, F.lit(False))).select(_PARTITION).distinct().collect()}
+        if not touched:
+            return 0
+        parts = [p for p in parts if p["partition"] in touched]
+        return self._rewrite(mutate.delete_where(base.where(F.col(_PARTITION).isin(*touched)), condition), m, parts)
 
     def delete_by_ids(self, ids: Iterable[Any]) -> int:
         m = self.manifest("Strong")
-        keys = self.spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(m["key"], self.schema[m["key"]].dataType)]))
-        return self._rewrite(mutate.delete_keys(self.df(consistency="Strong", with_partition=True), keys, m["key"]), m, m["parts"])
+        keys_given = list(ids)
+        keys = self.spark.createDataFrame([(i,) for i in keys_given], T.StructType([T.StructField(m["key"], self.schema[m["key"]].dataType)]))
+        base = self.df(consistency="Strong", with_partition=True)
+        # A few names: only partitions that hold one of the keys are written anew.
+        touched = {r[0] for r in base.join(F.broadcast(keys) if len(keys_given) <= 100_000 else keys, m["key"], "left_semi").select(_PARTITION).distinct().collect()}
+        if not touched:
+            return 0
+        parts = [p for p in m["parts"] if p["partition"] in touched]
+        return self._rewrite(mutate.delete_keys(base.where(F.col(_PARTITION).isin(*touched)), keys, m["key"]), m, parts)
 
     # --- single instances
 
@@ -657,7 +706,8 @@ class Collection:
         code = {"IVF_SQ8": "SQ8", "IVF_PQ": "PQ", "SCANN": "PQ"}.get(kind, "FLAT")
         ivf = I.InvertedFile.build(self.df(consistency="Strong").select(m["key"], field), m["key"], field, nlist, code, int(params.get("m", 8)), int(params.get("nbits", 8)))
         at = f"{self.path}/index/{field}-{m['version']}"
-        ivf.rows.write.mode("overwrite").partitionBy("cluster").parquet(f"{at}/rows")
+        # One file a cluster; AQE would merge the small ones into shared tasks, which is as good.
+        ivf.rows.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{at}/rows")
         arrays = {k: np.asarray(v).tolist() for k, v in (("centres", ivf.centres), ("low", ivf.low), ("step", ivf.step), ("books", ivf.books)) if v is not None}
         self.files.write(f"{at}/meta.json", json.dumps(arrays))
         return self._stored_index(field, m)
@@ -684,10 +734,12 @@ class _StoredIndex:
     def __init__(self, ivf: I.InvertedFile, described: dict[str, Any]) -> None:
         self.ivf, self.described = ivf, described
 
-    def search(self, base: DataFrame, key: str, vector: str, query: Sequence[float], k: int, metric_name: str, params: dict[str, Any]) -> DataFrame:
-        nprobe = int(params.get("nprobe") or max(1, int(params.get("ef", 64)) // 8))
+    def search(self, base: DataFrame | None, key: str, vector: str, query: Sequence[float], k: int, metric_name: str, params: dict[str, Any]) -> DataFrame:
+        """Best rows of the probed clusters; ``base`` holds the rows a filter leaves (None: all), and only then is read."""
+        nlist = len(self.ivf.centres)
+        nprobe = int(params.get("nprobe") or max(int(params.get("ef", 64)) // 8, math.ceil(I.PROBE_SHARE * nlist)))
         shortlist = None if self.described["index_type"] == "IVF_SQ8" and not params.get("rerank") else max(10 * k, 100)
-        ivf = I.InvertedFile(key, vector, self.ivf.centres, self.ivf.rows.join(base.select(key), key, "left_semi"), self.ivf.low, self.ivf.step, self.ivf.books)
+        ivf = I.InvertedFile(key, vector, self.ivf.centres, self.ivf.rows if base is None else self.ivf.rows.join(base.select(key), key, "left_semi"), self.ivf.low, self.ivf.step, self.ivf.books)
         return ivf.search(query, k, nprobe, metric_name, shortlist)
 
 
