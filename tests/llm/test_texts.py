@@ -141,6 +141,27 @@ def test_ham(text):
     assert not is_spam(text)
 
 
+PROSE = {
+    "italian": "Il gatto dorme sul divano della nonna mentre fuori piove. La strada per il mercato passa vicino al fiume, dove i bambini giocano ogni giorno.",
+    "polish": "Wczoraj wieczorem poszliśmy do kina, bo grali nowy film o morzu. Potem długo rozmawialiśmy przy herbacie i wróciliśmy późno do domu.",
+    "russian": "Вчера мы долго гуляли по парку и говорили о новой книге. Погода была тёплая, хотя к вечеру пошёл дождь.",
+    "arabic": "ذهب الولد إلى المدرسة في الصباح الباكر مع أخيه الصغير. كانت السماء صافية وكان الطريق طويلا بين الحقول.",
+    "portuguese": "O menino foi cedo para a escola com o irmão mais novo. A rua estava vazia e o vento soprava forte entre as casas.",
+    "dutch": "Gisteren gingen wij naar het strand omdat de zon eindelijk scheen. Mijn broer nam zijn hond mee, die de hele dag achter de golven aan rende.",
+    "swedish": "I går gick vi till skogen för att plocka svamp med farmor. Det regnade lite på morgonen men sedan kom solen fram.",
+    "turkish": "Dün sabah erkenden kalkıp deniz kenarında uzun bir yürüyüş yaptık. Hava serindi ama güneş yavaş yavaş yükseliyordu.",
+    "greek": "Χθες το πρωί πήγαμε με τον αδερφό μου στην αγορά του χωριού. Ο καιρός ήταν καλός και ο κόσμος γελούσε στους δρόμους.",
+    "english": "The boy went to school early with his brother. The road was empty and the wind blew between the houses.",
+}
+
+
+@pytest.mark.parametrize("language", sorted(PROSE))
+def test_prose_of_any_language_is_no_spam(language):
+    assert not is_spam(PROSE[language]) and not is_spam("\n\n".join([PROSE[language]] * 2))
+    # Its words heaped up are.
+    assert is_spam(", ".join(w.strip(".,") for w in PROSE[language].split() if len(w) > 4) + "\n")
+
+
 def test_spam_operator(spark):
     rows = [(1, SPAM[0]), (2, HAM[0]), (3, None), (4, ""), (1, SPAM[0]), (5, "a, b; " * 50_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("spam", F.lit(1))

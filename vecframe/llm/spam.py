@@ -3,7 +3,8 @@
 Every line is cut into units (sentences, list entries), and every unit reduced to a shape: what it holds (a link,
 letters strung apart, words), its word count, its capitals, its separators and its end. Units of one shape are
 counted together; a shape is a sentence's if its units carry the small words that no sentence of the language does
-without. A page is flagged if more than half of its words stand in a few shapes that are no sentences.
+without, or, in a language whose small words are not known, if its units begin, end and go on as sentences do. A page is
+flagged if more than half of its words stand in shapes that are no sentences.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ FUNCTION_WORDS = frozenset(
 )
 #: Share of the small words from which a unit of words reads as a sentence, and the share in a page of one shape.
 SENTENCE_SHARE = 0.09
-#: How many shapes may dominate a page.
+#: Different words of prose, as a multiple of the root of all its words.
+VARIETY = 2.0
+#: How many of a page's largest shapes are reported.
 FEW_SHAPES = 24
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
@@ -59,11 +62,15 @@ _APART = re.compile(r"(?<=\w)[\u200b\u200c\u200d\u2060\ufeff\u00ad]+(?=\w)")
 
 def _strung_apart(words: list[str]) -> bool:
     """Words taken apart into letters."""
-    return len(words) >= 6 and sum(len(w) == 1 and w.isalpha() for w in words) > 0.6 * len(words)
+    if len(words) < 6 or list(map(len, words)).count(1) <= 0.6 * len(words):
+        return False
+    return sum(len(w) == 1 and w.isalpha() for w in words) > 0.6 * len(words)
 
 
-def _weight(words: list[str]) -> int:
-    """Number of words; scripts without spaces write about one in two characters."""
+def _weight(words: list[str], unspaced: bool = True) -> int:
+    """Number of words; scripts without spaces (in a text that has any) write about one in two characters."""
+    if not unspaced:
+        return len(words)
     return sum((len(w) + 1) // 2 if _CJK.search(w) else 1 for w in words)
 
 
@@ -92,7 +99,7 @@ def unit_shape(unit: str, words: list[str]) -> tuple[str, bool]:
     """Shape of a unit of words without a link, and whether it reads as a sentence."""
     seps = len(_SEPARATOR.findall(unit))
     end = unit.rstrip()[-1:]
-    runs = [w for w in words if _CJK.search(w)]
+    runs = [w for w in words if _CJK.search(w)] if _CJK.search(unit) else []
     if 2 * len(runs) > len(words):
         chars = len(_CJK.findall(unit))
         sentence = chars >= 6 * len(runs) and (end in "。！？.!?" or chars >= 8 * len(runs)) and seps <= len(runs)
@@ -103,13 +110,27 @@ def unit_shape(unit: str, words: list[str]) -> tuple[str, bool]:
     return shape, small >= max(1.0, SENTENCE_SHARE * letters)
 
 
+def _built_like_a_sentence(unit: str, words: list[str]) -> bool:
+    """Does a unit begin as a sentence, end as one, and hold words of many lengths that are not repeated?"""
+    if len(words) < 5 or unit.rstrip()[-1:] not in tuple(".!?…؟۔։।") or len(_SEPARATOR.findall(unit)) > len(words) / 5:
+        return False
+    cased = [w for w in words if w[0].isupper() or w[0].islower()]
+    if cased and not (words[0][0].isupper() and sum(w[0].isupper() for w in cased) <= 1 + 0.3 * len(cased)):
+        return False
+    lengths = {len(w) for w in words}
+    return len(lengths) >= min(4, len(words) // 2) and min(lengths) <= 3 and len({w.lower() for w in words}) >= 0.8 * len(words)
+
+
 def page_shapes(text: str) -> tuple[Counter, Counter, Counter, int]:
     """Words by shape of units that are links, keywords, and sentences or records; and all words."""
     links: Counter = Counter()
     keywords: Counter = Counter()
     other: Counter = Counter()
+    # Units that are built like sentences but hold none of the small words: (shape, words, weight).
+    unknown: list[tuple[str, list[str], int]] = []
     total = 0
     fenced = False
+    unspaced = _CJK.search(text) is not None
     for line in text.splitlines():
         stripped = line.strip()
         if not stripped:
@@ -118,7 +139,7 @@ def page_shapes(text: str) -> tuple[Counter, Counter, Counter, int]:
         if not words:
             fenced ^= stripped.startswith("```")
             continue
-        n = _weight(words)
+        n = _weight(words, unspaced)
         total += n
         if stripped.startswith("```"):
             fenced = not fenced
@@ -159,27 +180,34 @@ def page_shapes(text: str) -> tuple[Counter, Counter, Counter, int]:
                 continue
             shape, sentence = unit_shape(unit, [w.lower() for w in own])
             if sentence:
-                other[shape] += _weight(own)
+                other[shape] += _weight(own, unspaced)
             elif _CODE.search(unit) or any("_" in w.strip("_") for w in unit.split()):
-                other["code"] += _weight(own)
+                other["code"] += _weight(own, unspaced)
+            elif _built_like_a_sentence(unit, own):
+                unknown.append((shape, own, _weight(own, unspaced)))
             else:
-                keywords[shape] += _weight(own)
+                keywords[shape] += _weight(own, unspaced)
+    # A language without known small words: its sentences go on with new words, keywords come again.
+    words = [w.lower() for _, own, _ in unknown for w in own]
+    prose = len(words) > 0 and len(set(words)) >= VARIETY * len(words) ** 0.5
+    for shape, _, n in unknown:
+        (other if prose else keywords)[shape] += n
     return links, keywords, other, total
 
 
-def is_spam(text: str | None, few: int = FEW_SHAPES) -> bool:
+def is_spam(text: str | None) -> bool:
+    """Do more than half of the words stand in shapes that are no sentences?"""
     if not text:
         return False
     links, keywords, _, total = page_shapes(text)
-    top = sum(n for _, n in (links + keywords).most_common(few))
-    return total > 0 and 2 * top > total
+    return 2 * (links.total() + keywords.total()) > total > 0
 
 
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW_SHAPES) -> DataFrame:
     """``(key, words, link_words, keyword_words, top_words, spam)`` of every row, in one pass without a shuffle.
 
-    ``top_words`` are the words in the ``few`` largest shapes that are no sentences; ``spam`` is whether they are
-    more than half. Null and empty texts have no words and are no spam; repeated rows give repeated results; other
+    ``top_words`` are the words in the ``few`` largest shapes that are no sentences; ``spam`` is whether link and
+    keyword words, of any number of shapes, are more than half. Null and empty texts have no words and are no spam; repeated rows give repeated results; other
     columns are not read.
     """
     schema = T.StructType(
@@ -194,7 +222,7 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", few: int
             for t in batch.column(1).to_pylist():
                 links, keywords, _, total = page_shapes(t or "")
                 top = sum(n for _, n in (links + keywords).most_common(few))
-                rows.append((total, links.total(), keywords.total(), top, 2 * top > total > 0))
+                rows.append((total, links.total(), keywords.total(), top, 2 * (links.total() + keywords.total()) > total > 0))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             arrays = [pa.array(c, type=pa.int32()) for c in cols[:4]] + [pa.array(cols[4], type=pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.fieldNames())
