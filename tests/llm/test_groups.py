@@ -171,7 +171,7 @@ def test_components(clusters):
 
 def test_components_keep_links_that_cells_part(spark, monkeypatch):
     """Chains of scattered rows, each linked to the next by one cosine of 0.7 only, over many cells."""
-    monkeypatch.setattr(cluster_module, "neighbour_graph", partial(cluster_module.neighbour_graph, cell_rows=32))
+    monkeypatch.setattr(cluster_module, "dealt_cells", partial(cluster_module.dealt_cells, cell_rows=32))
     rng = np.random.default_rng(14)
     x = []
     for _ in range(200):
@@ -190,6 +190,65 @@ def test_components_keep_links_that_cells_part(spark, monkeypatch):
     assert {(r.id, r.cluster_id) for r in components(df, 0.68).collect()} == want
 
 
+def _reachability(x: np.ndarray, min_samples: int) -> np.ndarray:
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    core = np.sort(s, axis=1)[:, -min_samples]
+    return np.minimum(s, np.minimum(core[:, None], core[None, :]))
+
+
+def test_a_cells_tree_keeps_the_reachability_graph():
+    """At every threshold the tree of a cell has the components of its full mutual-reachability graph."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        x = _unit(rng.standard_normal((40, 6))).astype(np.float32)
+        w = _reachability(x.astype(np.float64), 3)
+        near = cluster_module._cell_near(np.arange(40), x, -1.0, 3)
+        core = near.groupby("a").sim.min().reindex(range(40)).to_numpy()
+        tree = cluster_module._cell_tree(np.arange(40), x, -1.0, core)
+        for level in np.quantile(w, [0.5, 0.8, 0.9, 0.95, 0.99]) + 1e-4:
+            i, j = np.nonzero(np.triu(w >= level, 1))
+            kept = tree[tree.sim >= level]
+            assert sorted(map(sorted, _group(40, zip(i.tolist(), j.tolist(), strict=True)).values())) == sorted(map(sorted, _group(40, zip(kept.a.tolist(), kept.b.tolist(), strict=True)).values()))
+
+
+@pytest.mark.parametrize("cell_rows", [2048, 32])
+def test_cuts_of_the_hierarchy(clusters, cell_rows):
+    """Rows that are in the component of the exact mutual-reachability graph, over all levels: 0.9 at least."""
+    x, df = clusters
+    levels = (0.9, 0.85, 0.8, 0.7, 0.6)
+    cells = cluster_module.dealt_cells(df, "id", "embedding", 32, "ingested_at", cell_rows)
+    _, graph = cluster_module.reachability_graph(cells, 32, levels[-1], 3)
+    _, cuts = boruvka(graph.df, levels)
+    w = _reachability(x, 3)
+    right = total = 0
+    for level, cut in zip(levels, cuts, strict=True):
+        i, j = np.nonzero(np.triu(w >= level, 1))
+        want = {m: min(g) for g in _group(len(x), zip(i.tolist(), j.tolist(), strict=True)).values() if len(g) > 1 for m in g}
+        got = {r.id: r.label for r in cut.df.collect()}
+        right += sum(got.get(m) == g for m, g in want.items())
+        total += len(want)
+    assert right >= 0.9 * total > 900
+
+
+def test_selection_by_stability(spark):
+    """Two tight clusters that join late are selected apart; two that join soon as one."""
+    levels = (0.9, 0.8, 0.7, 0.6)
+    tight = {0: range(0, 5), 10: range(10, 15), 20: range(20, 25), 30: range(30, 35)}
+    names = [{0: 0, 10: 10, 20: 20, 30: 30}, {0: 0, 10: 10, 20: 20, 30: 20}, {0: 0, 10: 10, 20: 20, 30: 20}, {0: 0, 10: 0, 20: 20, 30: 20}]
+    cuts = [spark.createDataFrame([(i, n[c]) for c, ids in tight.items() for i in ids], "id long, label long") for n in names]
+    held, clusters_ = cluster_module._condensed(cuts, levels, 0, 5)
+    chosen = {(r.cluster.level, r.cluster.label) for r in cluster_module._selected(clusters_.df, range(4)).collect()}
+    # 10 rows from 0.8 on (10 * 5) outweigh two of 5 rows at 0.9 alone; 10 rows from 0.6 on (10 * 2.5) do not.
+    assert chosen == {(0, 0), (0, 10), (1, 20)}
+    by = {(r.cluster.level, r.cluster.label): r for r in clusters_.df.collect()}
+    assert set(by) == {(0, 0), (0, 10), (0, 20), (0, 30), (1, 20), (3, 0)}
+    lam = [1 / (1 - v) for v in levels]
+    assert by[0, 20].stability == pytest.approx(5 * (lam[0] - lam[1])) and by[1, 20].stability == pytest.approx(10 * lam[1])
+    assert by[1, 20].below == pytest.approx(10 * (lam[0] - lam[1])) and by[0, 20].parent.label == 20 and by[1, 20].parent is None
+    assert held.df.count() == 4 + 3 + 3 + 2
+
+
 def test_cluster_descriptions(clusters):
     x, df = clusters
     got = sorted(cluster(df, dim=32).collect(), key=lambda r: -r["size"])
