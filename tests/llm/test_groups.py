@@ -190,6 +190,31 @@ def test_components_keep_links_that_cells_part(spark, monkeypatch):
     assert {(r.id, r.cluster_id) for r in components(df, 0.68).collect()} == want
 
 
+def test_components_compare_equal_vectors_once(spark, monkeypatch):
+    """Thirty copies of each vector: one of them takes part, and all are in its component."""
+    seen = []
+    monkeypatch.setattr(cluster_module, "missed_links", lambda df, *a, f=cluster_module.missed_links, **k: (seen.append(df.count()), f(df, *a, **k))[1])
+    rng = np.random.default_rng(15)
+    centres = _unit(rng.standard_normal((10, 16)))
+    x = np.concatenate([centres, _unit(centres + 0.1 * rng.standard_normal((10, 16)))]).astype(np.float32)
+    rows = [(100 * c + i, None, v, None, 1) for c in range(30) for i, v in enumerate(x.tolist())]
+    rows += [(9000 + i, None, [0.0] * 16, None, 1) for i in range(9)] + [(9100 + i, None, [float("nan")] * 16, None, 1) for i in range(9)]
+    u = _unit(x.astype(np.float64))
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.68, 1))
+    want = {(100 * c + m, min(g)) for g in _group(20, zip(i.tolist(), j.tolist(), strict=True)).values() for m in g for c in range(30)}
+    got = [(r.id, r.cluster_id) for r in components(spark.createDataFrame(rows, SCHEMA), 0.68, dim=16).collect()]
+    assert set(got) == want and len(got) == 600 and seen[0] <= 22
+
+
+def test_leading_directions_bound_cosines():
+    rng = np.random.default_rng(16)
+    x = _unit(rng.standard_normal((300, 32))).astype(np.float32)
+    x[1:100] = _unit(x[0] + 0.05 * rng.standard_normal((99, 32)))
+    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :18].astype(np.float32)
+    p = cluster_module._leading(x, basis)
+    assert ((p @ p.T) >= x.astype(np.float64) @ x.T.astype(np.float64) - 1e-6).all()
+
+
 def _reachability(x: np.ndarray, min_samples: int) -> np.ndarray:
     s = x @ x.T
     np.fill_diagonal(s, -2)
