@@ -319,3 +319,39 @@ def test_pieces_of_words_close_no_title_however_often(spark, times):
 def test_null_versions_are_kept(spark):
     df = spark.createDataFrame([(1, None, "It is all there.", None, None), (1, None, "It is all there.", None, None), (2, None, "Some words. Then it is all the", None, None)], "id long, source string, content string, title string, ingested_at timestamp")
     assert {(r.id, r.cut) for r in truncated(df).collect()} == {(1, False), (2, True)}
+
+
+def test_every_partner_of_a_bucket_is_met(spark):
+    """Eighty texts of one opening: cut copies whose whole texts are neither the longest of the bucket nor of a share of it."""
+    import random
+
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    start = words(40)
+    whole = [f"{start} {words(300 + 5 * i)} stop." for i in range(80)]
+    rows = [(i, "s", t, None) for i, t in enumerate(whole)]
+    # Closed by a word that closes texts: only the near-copy shows the cut.
+    rows += [(1000 + i, "s", " ".join([*t.split()[:250], "stop"]), None) for i, t in enumerate(whole[:20])]
+    rows += [(1500, "s", rows[-1][2], None)]
+    rows = [(k, s, t.replace("stop.", "stop and go on to the end.") if k < 20 else t, None) for k, s, t, _ in rows]
+    rows = [(k, s, t.replace(t.split()[250], "stop", 1) if k < 20 else t, None) for k, s, t, _ in rows]
+    rows += [(2000 + i, "s", None, f"how to read the manual{tail}") for i, tail in enumerate([" a", " b", " of zebras", "s and more", ""])]
+    df = spark.createDataFrame(rows, "id long, source string, content string, title string")
+    got = {(r.id, r.field_name) for r in truncated(df, version=None).where("near_copy").collect()}
+    assert {(1000 + i, "content") for i in range(20)} | {(1500, "content")} <= got and not {k for k, _ in got} & set(range(80))
+
+
+def test_likely_copies_lose_no_pair():
+    import random
+
+    from vecframe.llm import truncation
+
+    rng = random.Random(22)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 80))] for _ in range(12)]
+    texts = [" ".join(b[: rng.randrange(8, len(b))] + [f"v{rng.randrange(60)}" for _ in range(rng.randrange(4))]) for b in base for _ in range(8)]
+    h, doc = truncation.shingle_sets(texts, 5)
+    sets = [set(h[doc == i].tolist()) for i in range(len(texts))]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * min(len(sets[i]), len(sets[j]))}
+    a, b = truncation._likely_copies(texts, 5, 0.8)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert want <= got and len(want) > 100 and len(got) == len(a)

@@ -18,9 +18,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vecframe.llm._common import Stage, hinted
 from vecframe.llm.shingles import alnum_table, code_points, mix, shingle_sets, word_hashes, word_spans
@@ -32,8 +34,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, WINDOWS = 4, ((8, 2), (32, 2), (None, 3))
 #: Words of a title's opening by which titles meet.
 TITLE_WORDS = 4
-#: Partners of a text in one bucket: the longest of each of so many hashed shares of it.
-PARTNERS = 4
+#: Texts of a bucket up to which all its pairs are listed; of larger ones those that can be near-copies.
+BUCKET = 64
 #: Words at the end of a text that are aligned, and the share of them that may differ.
 ALIGNED, EDITED = 24, 0.25
 #: Share of a word's occurrences that are followed by an end, below which the word closes nothing.
@@ -366,30 +368,83 @@ def breaks_off(short: str, long: str) -> bool:
     return not re.match(r"[\"'”’»)\]`]*(?:[.!?。！？]|\s*\n|\s*$)", rest)
 
 
-def near_copy_cuts(rows: DataFrame, scanned: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, partners: int = PARTNERS) -> DataFrame:
+def _likely_copies(texts: list[str], width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts, each once, that hold all in which the smaller set of shingles lies in the larger one to ``similarity``.
+
+    The smaller set cannot reach it without one of its rarest ``n - ceil(similarity n) + 1`` shingles in the larger one. What all texts
+    of a bucket share comes last in that order, so it makes no pairs by itself.
+    """
+    h, doc = shingle_sets(texts, width)
+    n = len(texts)
+    size = np.bincount(doc, minlength=n)
+    _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+    f = times[which]
+    order = np.lexsort((h, f, doc))
+    place = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+    first = order[(place < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[doc]) & (f[order] > 1)]
+    by = np.argsort(which, kind="stable")
+    begins = np.cumsum(times) - times
+    found = np.zeros(0, dtype=np.int64)
+    turn = np.cumsum(f[first]) >> 20
+    for part in np.split(first, np.flatnonzero(np.diff(turn)) + 1):
+        count = f[part]
+        at = np.repeat(begins[which[part]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        x, y = np.repeat(doc[part], count), doc[by[at]]
+        keep = (x != y) & (size[x] <= size[y])
+        x, y = x[keep], y[keep]
+        found = np.union1d(found, np.minimum(x, y) * n + np.maximum(x, y))
+    return found // n, found % n
+
+
+def _title_cuts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(id, field_name, copies)`` of titles that another title of their bucket goes on from inside a word.
+
+    Titles are ordered with letters and digits before all other characters: if any title goes on so, the next one does.
+    """
+    held = keys.where("field_name = 'title'").select("id", "key").join(rows.select("id", F.lower(F.rtrim("title")).alias("low")).where("low is not null"), "id")
+    held = Stage(held.distinct()).df
+    order = F.regexp_replace("low", r"([^\p{L}\p{N}])", "\U0010ffff$1")
+    following = F.lead("low").over(Window.partitionBy("key").orderBy("order", "low"))
+    goes_on = F.col("next").startswith(F.col("low")) & F.substring("low", -1, 1).rlike(r"[\p{L}\p{N}]") & F.substr("next", F.length("low") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    cut = held.select("key", "low").distinct().withColumn("order", order).withColumn("next", following).where(goes_on).select("key", "low")
+    return held.join(hinted(Stage(cut)), ["key", "low"]).select("id", F.lit("title").alias("field_name"), F.lit(False).alias("copies"))
+
+
+def near_copy_cuts(rows: DataFrame, scanned: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """``(id, field_name, copies)`` of values that break off where a near-copy's value goes on.
 
-    In every bucket a value is paired with the longest value of each of ``partners`` shares of the bucket, cut by a hash
-    of the id, so a bucket of any size costs a bounded number of pairs a value. Contents are near-copies if
-    the shorter one's shingles lie in the longer one for the most part; then their titles are compared too. Titles that
-    meet by their openings alone (not ``copies``) are flagged only inside a word. Both values of a pair are tested. Values
-    whose partners flag nothing are left to the scoring of closing words.
+    All values of a bucket meet. Contents are near-copies if the shorter one's shingles lie in the longer one for the most
+    part; then their titles are compared too. Records of the same content and title are represented by the first. In buckets
+    of up to ``bucket`` records all pairs are listed, in larger ones those that can be near-copies. Titles that meet by their
+    openings alone (not ``copies``) are flagged only inside a word. Both values of a pair are tested.
     """
-    keys = scanned.where(f"kind = {_VALUE}").select("id", "field_name", "size", F.explode("keys").alias("key"))
-    share = F.pmod(F.xxhash64("id"), F.lit(partners))
-    longest = keys.groupBy("key", share.alias("share")).agg(F.max(F.struct("size", "id")).alias("m"), F.min("id").alias("least"), F.max("id").alias("most"))
-    longest = longest.groupBy("key").agg(F.collect_list("m.id").alias("others"), F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("key", "others")
-    met = keys.join(hinted(Stage(longest)), "key").select("id", "field_name", F.explode("others").alias("other")).where("id <> other")
-    pairs = Stage(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "field_name").distinct()).df
-
-    def with_texts(kind: str, columns: list[str]) -> DataFrame:
-        own = pairs.where(F.col("field_name") == kind).select("a", "b")
-        ends = hinted(Stage(own.select(F.col("a").alias("id")).unionByName(own.select(F.col("b").alias("id"))).distinct()))
-        texts = Stage(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max(F.struct(*columns)).alias("v"))).df
-        left, right = (texts.select(F.col("id").alias(e), *[F.col(f"v.{c}").alias(f"{c}_{e}") for c in columns]) for e in ("a", "b"))
-        return own.join(left, "a").join(right, "b")
-
-    both = with_texts("content", ["content", "title"]).select("a", "b", "content_a", "title_a", "content_b", "title_b")
+    keys = scanned.where(f"kind = {_VALUE}").select("id", "field_name", F.explode("keys").alias("key"))
+    # Two hashes stand for the texts; a record with two versions stands for itself.
+    same = rows.where("content is not null").select("id", F.xxhash64("content", "title").alias("h1"), F.xxhash64(F.lit(1), "title", "content").alias("h2")).distinct()
+    same = same.groupBy("id").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.count("*").alias("n")).where("n = 1")
+    again = same.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("h1", "h2", "rep")
+    copies = hinted(Stage(same.join(hinted(Stage(again)), ["h1", "h2"]).where("id <> rep").select("id", "rep")))
+    met = keys.where("field_name = 'content'").join(copies, "id", "left_anti").select("key", "id").distinct()
+    sizes = Stage(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = Stage(met.join(sizes.df, "key"))
+    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", F.posexplode("ids").alias("at", "a"))
+    small = small.select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
+    large = met.df.where(F.col("n") > bucket).select("key", "id")
+
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.sort_values(["id", "text"]).drop_duplicates("id", keep="last")
+        ids = one.id.to_numpy()
+        a, b = _likely_copies(one.text.tolist(), width, similarity)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    large_ids = hinted(Stage(large.select("id").distinct()))
+    texts_ = rows.join(large_ids, "id", "left_semi").where("content is not null").select("id", F.col("content").alias("text"))
+    large = large.join(texts_, "id").groupBy("key").applyInPandas(likely, "a bigint, b bigint")
+    pairs = Stage(small.unionByName(large).distinct()).df
+    ends = hinted(Stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+    texts = Stage(rows.join(ends, "id", "left_semi").groupBy("id").agg(F.max(F.struct("content", "title")).alias("v"))).df
+    left, right = (texts.select(F.col("id").alias(e), F.col("v.content").alias(f"content_{e}"), F.col("v.title").alias(f"title_{e}")) for e in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "content_a", "title_a", "content_b", "title_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -409,13 +464,9 @@ def near_copy_cuts(rows: DataFrame, scanned: DataFrame, width: int = WIDTH, simi
                         out += [(k, "title") for k, s, o in ((a_ids[i], ta[i], tb[i]), (b_ids[i], tb[i], ta[i])) if breaks_off(s, o)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([f for _, f in out], pa.string())], names=["id", "field_name"])
 
-    found = both.mapInArrow(run, "id bigint, field_name string").withColumn("copies", F.lit(True))
-    titles = with_texts("title", ["title"])
-    short, long = (F.lower(F.rtrim(f"title_{e}")) for e in ("a", "b"))
-    inside = lambda s, o: o.startswith(s) & (F.substring(s, -1, 1).rlike(r"[\p{L}\p{N}]")) & F.substr(o, F.length(s) + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    which = F.when(inside(short, long), F.col("a")).when(inside(long, short), F.col("b"))
-    opened = titles.select(which.alias("id"), F.lit("title").alias("field_name"), F.lit(False).alias("copies")).where("id is not null")
-    return found.unionByName(opened)
+    found = Stage(both.mapInArrow(run, "id bigint, field_name string").distinct().withColumn("copies", F.lit(True))).df
+    of_copies = found.withColumnRenamed("id", "rep").join(copies, "rep").select("id", "field_name", "copies")
+    return found.unionByName(of_copies).unionByName(_title_cuts(rows, keys))
 
 
 def truncated(df: DataFrame, key: str = "id", version: str | None = "ingested_at") -> DataFrame:
