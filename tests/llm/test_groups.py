@@ -259,6 +259,24 @@ def test_cuts_of_the_hierarchy(clusters, cell_rows, least):
     assert right >= least * total > 900
 
 
+def test_hierarchy_keeps_links_that_cells_part(spark, clusters):
+    """With cells of 32 rows the cores and all cuts are those of the exact mutual-reachability graph."""
+    x, df = clusters
+    levels = (0.9, 0.8, 0.6)
+    rows = df.where("id is not null").dropDuplicates(["id"]).select("id", F.col("embedding").alias("v"))
+    core, cuts = cluster_module.hierarchy(rows, 32, levels, 3, cell_rows=32)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    exact = np.sort(s, axis=1)[:, -3]
+    got = {r.id: r.core for r in core.df.collect()}
+    assert set(got) == set(np.flatnonzero(exact >= 0.6).tolist()) and all(abs(exact[i] - c) < 1e-5 for i, c in got.items())
+    w = _reachability(x, 3)
+    for level, cut in zip(levels[-len(cuts) :], cuts, strict=True):
+        i, j = np.nonzero(np.triu(w >= level, 1))
+        want = {(m, min(g)) for g in _group(len(x), zip(i.tolist(), j.tolist(), strict=True)).values() if len(g) > 1 for m in g}
+        assert {(r.id, r.label) for r in cut.df.collect()} == want
+
+
 def test_selection_by_stability(spark):
     """Two tight clusters that join late are selected apart; two that join soon as one."""
     levels = (0.9, 0.8, 0.7, 0.6)
