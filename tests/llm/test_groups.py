@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vecframe.llm import cluster as cluster_module
 from vecframe.llm import neardup
+from vecframe.llm._common import Stage
 from vecframe.llm.cluster import boruvka, cluster, components
 from vecframe.llm.knn import build_graph, knn, search_graph
 from vecframe.llm.neardup import near_duplicates
@@ -118,6 +119,84 @@ def test_many_copies_in_one_group(spark):
     assert len(got) == 800 and {r.group_id for r in got} == {0}
 
 
+def _sharing_texts(seed: int, families: int, copies: int, words: int) -> list[str]:
+    """Texts from few words, so that unrelated ones share sequences, and copies of each with some words replaced."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(families):
+        base = rng.integers(0, words, int(rng.integers(12, 320)))
+        for _ in range(copies):
+            t = base.copy()
+            t[rng.random(len(t)) < rng.choice([0.02, 0.08, 0.12])] = rng.integers(0, words)
+            out.append(" ".join(f"w{x}" for x in t))
+    return list(dict.fromkeys(out))
+
+
+@pytest.mark.parametrize(("group", "turn_rows"), [(256, 1000), (6, 1000), (2, 60)])
+def test_similar_records_meet_under_some_key(spark, group, turn_rows):
+    """All similar pairs are found, whatever counts as frequent, in one turn and in several."""
+    texts = _sharing_texts(11, 60, 3, 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    links = neardup.content_links(df, len(texts), 3, 0.5, group, turn_rows)
+    got = _group(len(texts), [(r.a, r.b) for s in links for r in s.df.collect()])
+    h, doc = shingle_sets(texts, 3)
+    sets = [set(h[doc == i].tolist()) for i in range(len(texts))]
+    want = _group(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])])
+    assert {tuple(g) for g in got.values()} == {tuple(g) for g in want.values()}
+    assert sum(len(g) > 1 for g in want.values()) > 20
+    for s in links:
+        s.drop()
+
+
+def test_pairs_of_unrelated_records_stay_where_they_are_found(spark, monkeypatch):
+    """Records that share many sequences by chance: their pairs are ruled out before anything is written for them."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 14, 90)) for _ in range(1500)]
+    sizes = []
+    plain = neardup.Stage
+
+    def stage(df):
+        made = plain(df)
+        sizes.append(made.df.selectExpr("sum(n)").first()[0] or 0 if "bucket" in df.columns else made.df.count() if df.columns == ["a", "b"] else 0)
+        return made
+
+    monkeypatch.setattr(neardup, "Stage", stage)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    for s in neardup.content_links(df, len(texts), 3, 0.5):
+        s.drop()
+    h, doc = shingle_sets(texts, 3)
+    _, many = np.unique(h, return_counts=True)
+    assert (many * (many - 1) // 2).sum() > 1000 * len(texts)
+    assert max(sizes) < len(texts)
+
+
+def test_screen_keeps_similar_sets():
+    rng = np.random.default_rng(8)
+    for size in (3, 60, 171, 500, 690, 3000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate((a[: -(-2 * size // 3)], rng.integers(0, 1 << 63, size // 3).astype(np.uint64), rng.integers(0, 1 << 63, size // 4).astype(np.uint64)))
+        x, y = (np.frombuffer(neardup._sketch(z), np.uint8)[None] for z in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        p, q = neardup._fold(x, width), neardup._fold(y, width)
+        bound = min(len(a) - int(np.bitwise_count(p & ~q).sum()), len(b) - int(np.bitwise_count(q & ~p).sum()))
+        assert bound >= len(np.intersect1d(a, b)) and (neardup._fold(x, 64) == neardup._fold(p, 64)).all()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return files.count("/shuffle_")
+
+    before = shuffled()
+    made = Stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    try:
+        # Counted before anything else runs: counting the rows shuffles too.
+        assert shuffled() <= before
+        assert made.df.count() == 100
+    finally:
+        made.drop()
+
+
 def test_boruvka_is_a_spanning_forest(spark):
     rng = random.Random(2)
     edges = [(a, b, round(rng.random(), 1)) for a in range(60) for b in rng.sample(range(60), 3) if a != b] + [(100, 101, 0.2)]

@@ -1,18 +1,20 @@
 """Groups of near-duplicate records: a set-similarity join over word shingles.
 
-The shingles of a record are ordered rarest first, by their document frequency over the whole table. Two sets of
-similarity ``t`` share a shingle in their prefixes of ``n - ceil(t n) + 1``, and ``l`` shingles
-in prefixes longer by ``l - 1``. So only prefix shingles that occur in two records or more are joined, and pairs are
-kept that share ``LEAST`` of them. A candidate passes the length filter, the positional filter (the place of the
-shingle in both orders bounds the overlap) and the suffix filter (a bitmap of the shingles behind it bounds how many
-can be common), and each pair left is verified once, on the whole sets.
+The shingles of a record are dealt to parts by a hash, ``4 ** c`` of them, where the class ``c`` goes by the size of the
+larger set of a pair. Two sets of similarity ``t`` have a part in which they are at least as similar (a ratio of sums
+is at most the largest of the ratios). So records are compared part by part: shingles are ordered rarest first, by their
+document frequency over the whole table, and two parts of similarity ``t`` share one in their prefixes of
+``n - ceil(t n) + 1``. Only prefix shingles that occur in two records or more are joined. A pair of them passes the
+length filter and the bitmap filter (a bitmap of the part, wide for its few shingles, bounds how many can be common),
+both before it leaves the task that found it. The few pairs left are verified once each, on the whole sets.
 
 How it is spread: records are dealt to blocks by a hash of their id. A block hands out its distinct shingles by
 range of hash, a range counts them over all blocks and hands the frequencies back, in the block's order, so
-no table of shingles is ever joined or broadcast. Equal texts are represented by one. All pairs of a
-shingle in up to ``GROUP`` records are tested. A pair must share ``LEAST`` prefix shingles, so frequent shingles matter only to
-pairs of records that both have as many of them in their prefixes: all other records leave them out. Those left are
-first tested against the shingle's first record only; in a second pass, pairs are tested only between records that no
+no table of shingles is ever joined or broadcast. Equal texts are represented by one. A shingle in more than ``GROUP``
+records is no key by itself: parts whose common shingles are all that frequent share two in prefixes longer by one,
+and every two of them are a key together (by one alone only parts of two shingles or fewer can be similar). All pairs of a
+key in up to ``GROUP`` records are tested. Those of a key in more are
+first tested against the key's first record only; in a second pass, pairs are tested only between records that no
 chain of links joins yet, so a large family of copies costs one test a record and still no link is lost.
 """
 
@@ -30,19 +32,22 @@ from pyspark.sql import functions as F
 from vecframe.llm._common import Stage, hinted
 from vecframe.llm.cluster import boruvka
 from vecframe.llm.knn import exact_cosines
-from vecframe.llm.shingles import shingle_sets
+from vecframe.llm.shingles import mix, shingle_sets
 from vecframe.llm.vectors import angles, block, fit_cells, fresh, salt, unit, usable
 
 WIDTH, THRESHOLD, COSINE = 3, 0.5, 0.98
-#: Records of a block; shingles of a range.
-BLOCK_ROWS, RANGE_SHINGLES = 4096, 1 << 18
-#: Prefix shingles that a pair must share (fewer for sets too small for that).
-LEAST = 5
-#: Bits of a record's shingle bitmap.
-BITMAP = 64
+#: Least and most records of a block, and shingles of a range: blocks times ranges would else grow with the square of the rows.
+BLOCK_ROWS, RANGE_SHINGLES = (4096, 16384), (1 << 18, 1 << 21)
+#: Sets below this size have one part; from there on four times as many whenever the size has grown by four.
+WHOLE = 64
+#: Bits of a part's shingle bitmap.
+BITMAP = 128
+#: Records whose keys are shuffled at once.
+TURN_ROWS = 5_000_000
 #: Document frequency up to which all pairs of a shingle's records are tested.
 GROUP = 256
 _LOW = np.uint64((1 << 32) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _need(size: np.ndarray, t: float) -> np.ndarray:
@@ -94,7 +99,7 @@ def _deal_texts(n_blocks: int):
                 blocks.append(int(block_of[who[0]]))
                 counts.append(len(who))
                 sizes.append(len(body))
-                parts.append(pa.compress(body, codec="zstd", asbytes=True))
+                parts.append(pa.Codec("zstd", compression_level=6).compress(body, asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "size", "blob"])
 
     return run
@@ -128,7 +133,8 @@ def _candidates(rec: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.n
     ok = np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9
     ok &= 1 + np.minimum(sa - place[a] - 1, sb - place[b] - 1) + np.minimum(place[a], place[b]) >= need
     keep = np.flatnonzero(ok)
-    x, y = bits[a[keep]], bits[b[keep]]
+    words = np.ascontiguousarray(bits).view(np.uint64)
+    x, y = words[a[keep]], words[b[keep]]
     only_a = np.bitwise_count(x & ~y).sum(axis=1).astype(np.int64)
     only_b = np.bitwise_count(y & ~x).sum(axis=1).astype(np.int64)
     fits = np.minimum(sa[keep] - only_a, sb[keep] - only_b) >= need[keep]
@@ -145,8 +151,9 @@ def _group_pairs(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return a, a + 1 + step
 
 
-_NUMBERS = ("low", "id", "size", "place", "hot", "frequent")
-_PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("size", "<u4"), ("place", "<u4"), ("hot", "u1"), ("frequent", "u1"), ("bits", "u1", (BITMAP // 8,))])
+_NUMBERS = ("low", "id", "own")
+#: Key (24 bits of it in its range: what meets by chance is ruled out by the bitmap), record, size of its part, bitmap of the part.
+_PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("own", "<u4"), ("bits", "u1", (BITMAP // 8,))])
 
 
 def _ranges(h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -156,128 +163,175 @@ def _ranges(h: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(r[start].tolist(), start.tolist(), np.r_[start[1:], len(r)].tolist(), strict=False))
 
 
-def _shared(size: np.ndarray, t: float) -> np.ndarray:
-    """Prefix shingles that a set of ``size`` must share with a similar one."""
-    return np.minimum(LEAST, _need(size, t))
+def _class(size: np.ndarray) -> np.ndarray:
+    """Class of a set's size: sets of class ``c`` have ``4 ** c`` parts."""
+    return np.ceil(np.log2((np.maximum(size, 1) + 0.5) / WHOLE) / 2).clip(0).astype(np.int64)
 
 
 def _pack_rows(rows: np.ndarray) -> bytes:
-    """Compressed by column; the bytes of numbers lie apart, so their leading zeros cost nothing."""
-    columns = [np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in _NUMBERS]
-    return _zip(np.frombuffer(b"".join(columns), dtype=np.uint8)) + rows["bits"].tobytes()
+    """Compressed by column, of ascending keys the steps; the bytes of numbers lie apart, so their leading zeros cost nothing."""
+    columns = [np.diff(rows["low"], prepend=np.uint32(0)).astype("<u4"), *[rows[c] for c in _NUMBERS[1:]]]
+    return _zip(np.frombuffer(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns) + rows["bits"].tobytes(), dtype=np.uint8))
 
 
 def _unpack_rows(blob: bytes, n: int) -> np.ndarray:
-    bits = n * (BITMAP // 8)
-    widths = [_PACKED[c].itemsize for c in _NUMBERS]
-    raw, at = _unzip(blob[: len(blob) - bits], n * sum(widths), np.uint8), 0
+    raw, at = _unzip(blob, n * _PACKED.itemsize, np.uint8), 0
     rows = np.zeros(n, dtype=_PACKED)
-    for c, w in zip(_NUMBERS, widths, strict=True):
+    for c in _NUMBERS:
+        w = _PACKED[c].itemsize
         rows[c] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(_PACKED[c]).ravel()
         at += n * w
-    rows["bits"] = np.frombuffer(blob[len(blob) - bits :], dtype=np.uint8).reshape(n, -1)
+    rows["low"] = np.cumsum(rows["low"], dtype=np.uint32)
+    rows["bits"] = raw[at:].reshape(n, -1)
     return rows
 
 
+def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: float, group: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``bits`` bits under which records are compared, ascending, and their rows (``id``: the record's place).
+
+    ``h``, ``doc``, ``f``: shingles by record, ascending within one, and their document frequencies; ``size`` of every record.
+    """
+    least, most = _class(size), _class(np.floor(size / t + 1e-9))
+    out_key, out = [np.zeros(0, np.uint64)], [np.zeros(0, _PACKED)]
+    for c in range(int(most.max(initial=-1)) + 1):
+        mine = ((least <= c) & (c <= most))[doc]
+        sh, sd, sf = h[mine], doc[mine], f[mine]
+        if not len(sh):
+            continue
+        parts = 4**c
+        part = sd * parts + (mix(sh) % np.uint64(parts)).astype(np.int64)
+        # Rarest first; equally rare shingles in the order of their hash.
+        order = np.argsort((part << 32) | sf, kind="stable")
+        sh, sd, sf, part = sh[order], sd[order], sf[order], part[order]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sizes = np.diff(np.r_[start, len(part)])
+        which = np.repeat(np.arange(len(start)), sizes)
+        own, place = sizes[which], np.arange(len(sh)) - start[which]
+        need = _need(own, t)
+        maps = _bitmaps(sh, which, len(start))
+        frequent = sf > group
+        first = place < own - need + 1
+        single = first & ((sf > 1) & ~frequent)
+        tiny = np.flatnonzero(first & frequent & (own * t <= 1 + 1e-9))
+        single = np.flatnonzero(single)
+        # Of parts all of whose common shingles are frequent, the two rarest of these lie here.
+        twice = np.flatnonzero(frequent & (place < own - np.maximum(need, 2) + 2))
+        run = np.flatnonzero(np.r_[True, which[twice][1:] != which[twice][:-1]]) if len(twice) else np.zeros(0, np.int64)
+        x, y = _group_pairs(run, np.diff(np.r_[run, len(twice)]).astype(np.int64))
+        x, y = twice[x], twice[y]
+        salted = np.uint64(3 * c)
+        for at, key in ((single, sh[single] if not c else mix(sh[single] + salted * _ODD)), (tiny, mix(sh[tiny] + (salted + np.uint64(1)) * _ODD)), (x, mix(mix(sh[x] + (salted + np.uint64(2)) * _ODD) + sh[y]))):
+            rows = np.zeros(len(at), dtype=_PACKED)
+            rows["id"], rows["own"], rows["bits"] = sd[at], own[at], maps[which[at]]
+            out.append(rows)
+            out_key.append(key & np.uint64((1 << bits) - 1))
+    key, rows = np.concatenate(out_key), np.concatenate(out)
+    order = np.argsort(key, kind="stable")
+    key, rows = key[order], rows[order]
+    rows["low"] = ((key & _LOW) >> np.uint64(8)).astype(np.uint32)
+    return key, rows
+
+
 def _group_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed rows ordered by shingle, size and id; start and size of every shingle's group."""
     rows = np.concatenate([_unpack_rows(b, n) for b, n in zip(pdf.blob, pdf.n, strict=True)]) if len(pdf) else np.zeros(0, _PACKED)
-    rows = rows[np.lexsort((rows["id"], rows["size"], rows["low"]))]
+    rows = rows[np.lexsort((rows["id"], rows["own"], rows["low"]))]
     low = rows["low"]
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
     return rows, first, np.diff(np.r_[first, len(low)]).astype(np.int64)
 
 
-def _pair_frame(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """Pairs with how many shingles they were found by, and how many they must share (0: enough by itself)."""
-    if not got:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "found": np.zeros(0, np.int32), "least": np.zeros(0, np.int32)})
-    a, b, least = (np.concatenate([g[i] for g in got]) for i in range(3))
+def _once_each(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, the smaller id first, each once."""
     a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((least, b, a))
-    a, b, least = a[order], b[order], least[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": a[first], "b": b[first], "found": np.diff(np.r_[first, len(a)]).astype(np.int32), "least": least[first].astype(np.int32)})
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[first], b[first]
+
+
+_FOUND = "bucket int, range int, n int, a binary, b binary, blob binary"
 
 
-def _pack_pairs(pairs: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Pairs packed by a hash of their first record, compressed."""
-    a = pairs.a.to_numpy()
+def _pack_pairs(got: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> list[tuple]:
+    """Pairs packed by a hash of their first record, compressed: rows of ``_FOUND``."""
+    a, b = _once_each(*(np.concatenate([np.zeros(0, np.int64), *[g[i] for g in got]]) for i in range(2)))
     bucket = (salt(a, 2) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((pairs.b.to_numpy(), a, bucket))
-    bucket = bucket[order]
-    columns = [pairs[c].to_numpy()[order] for c in ("a", "b", "found", "least")]
+    order = np.argsort(bucket, kind="stable")
+    bucket, a, b = bucket[order], a[order], b[order]
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[start[1:], len(bucket)]
-    packed = [[_planes(c[i:j]) for i, j in zip(start, ends, strict=True)] for c in columns]
-    return pd.DataFrame({"bucket": bucket[start].astype(np.int32), "n": (ends - start).astype(np.int32), **dict(zip(("a", "b", "found", "least"), packed, strict=True))})
+    return [(int(bucket[i]), 0, int(j - i), _planes(a[i:j]), _planes(b[i:j]), b"") for i, j in zip(start, np.r_[start[1:], len(bucket)].astype(np.int64), strict=False)]
 
 
-def _shared_enough(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket's pairs, from all ranges, those found by enough shingles."""
-    a, b, found, least = (np.concatenate([_numbers(x, n, kind) for x, n in zip(pdf[c], pdf.n, strict=True)]) for c, kind in (("a", np.int64), ("b", np.int64), ("found", np.int32), ("least", np.int32)))
-    order = np.lexsort((b, a))
-    a, b, found, least = a[order], b[order], found[order], least[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    keep = np.add.reduceat(found, first) >= np.minimum.reduceat(least, first)
-    return pd.DataFrame({"a": a[first][keep], "b": b[first][keep]})
+def _found_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["bucket", "range", "n", "a", "b", "blob"])
+    return frame.astype({"bucket": np.int32, "range": np.int32, "n": np.int32})
+
+
+def _distinct(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket's pairs, from all ranges, each once."""
+    a, b = _once_each(*(np.concatenate([_numbers(x, n, np.int64) for x, n in zip(pdf[c], pdf.n, strict=True)]) for c in ("a", "b")))
+    return pd.DataFrame({"a": a, "b": b})
+
 
+def _passing(rows: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of rows (positions of one key's group) whose parts pass the filters; places are not sent along."""
+    used, at = np.unique(np.concatenate((a, b)), return_inverse=True) if len(a) < len(rows) else (np.arange(len(rows)), np.concatenate((a, b)))
+    mine = rows[used]
+    ok = _candidates(mine["id"], mine["own"], np.zeros(len(mine), np.int64), mine["bits"], at[: len(a)], at[len(a) :], t)
+    return rows["id"][a[ok]], rows["id"][b[ok]]
 
-def _first_pairs(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Candidates of one range: all pairs of rare shingles, of frequent ones those with the first record, and whether any was."""
+
+def _first_pairs(pdf: pd.DataFrame, t: float, group: int, buckets: int) -> pd.DataFrame:
+    """Candidates of one range: all pairs of rare keys, of frequent ones those with the first record; these keys' rows are handed on."""
     rows, first, sizes = _group_rows(pdf)
-    rec, size, place, bits = rows["id"], rows["size"], rows["place"], rows["bits"]
-    # What a pair must share by rare shingles: frequent ones can make up for the rest.
-    least, hot = _shared(size.astype(np.int64), t), rows["hot"].astype(np.int64)
     got = []
-    many = rows["frequent"][first].astype(bool) if len(rows) else np.zeros(0, bool)
-    small = (sizes > 1) & ~many
+    small = (sizes > 1) & (sizes <= group)
     # So many pairs at once that they fit in memory.
-    turn = np.cumsum(sizes[small] * (sizes[small] - 1) // 2) >> 19
-    for part in np.unique(turn):
-        a, b = _group_pairs(first[small][turn == part], sizes[small][turn == part])
-        ok = _candidates(rec, size, place, bits, a, b, t)
-        a, b = a[ok], b[ok]
-        got.append((rec[a], rec[b], np.maximum(1, np.minimum(least[a], least[b]) - np.minimum(hot[a], hot[b]))))
-    large = np.flatnonzero((sizes > 1) & many)
-    for g in large:
+    first_, sizes_ = first[small], sizes[small]
+    turn = np.cumsum(sizes_ * (sizes_ - 1) // 2) >> 20
+    edge = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]) if len(turn) else np.zeros(0, np.int64)
+    for i, j in zip(edge, np.r_[edge[1:], len(turn)].astype(np.int64), strict=False):
+        got.append(_passing(rows, *_group_pairs(first_[i:j], sizes_[i:j]), t))
+    many = []
+    for g in np.flatnonzero(sizes > group):
         b = np.arange(first[g] + 1, first[g] + sizes[g])
-        ok = _candidates(rec, size, place, bits, np.full(len(b), first[g]), b, t)
-        got.append((np.full(int(ok.sum()), rec[first[g]]), rec[b[ok]], np.zeros(int(ok.sum()), np.int64)))
-    if len(large):
-        # A mark that a second pass is needed.
-        got.append((np.array([-1]), np.array([-1]), np.array([0])))
-    return _pair_frame(got)
+        got.append(_passing(rows, np.full(len(b), first[g]), b, t))
+        many.append((-1, int(pdf.range.iloc[0]), int(sizes[g]), b"", b"", _pack_rows(rows[first[g] : first[g] + sizes[g]])))
+    return _found_frame(_pack_pairs(got, buckets) + many)
 
 
-def _cross_pairs(pdf: pd.DataFrame, labels: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Candidates of the frequent shingles of one range between records of different components."""
-    rows, first, sizes = _group_rows(pdf)
+def _cross_pairs(groups: pd.DataFrame, labels: pd.DataFrame, t: float, buckets: int) -> pd.DataFrame:
+    """Candidates of the frequent keys of one range between records of different components."""
     known = pd.Series(labels.label.to_numpy(), index=labels.id.to_numpy())
     got = []
-    for g in np.flatnonzero((sizes > 1) & (rows["frequent"][first].astype(bool) if len(rows) else False)):
-        own = rows[first[g] : first[g] + sizes[g]]
-        rec, size, place, bits = own["id"], own["size"], own["place"], own["bits"]
-        label = known.reindex(rec).fillna(pd.Series(rec, index=rec).groupby(level=0).first().reindex(rec)).to_numpy(dtype=np.int64)
+    for blob, n in zip(groups.blob, groups.n, strict=True):
+        own = _unpack_rows(blob, n)
+        rec = own["id"]
+        found = known.reindex(rec).to_numpy(dtype=np.float64, na_value=np.nan)
+        label = np.where(np.isnan(found), rec, known.reindex(rec).fillna(-1).to_numpy(dtype=np.int64)) if len(known) else rec
         values, counts = np.unique(label, return_counts=True)
         main = values[counts.argmax()]
-        for i in np.flatnonzero(label != main):
-            # All others of another component; of two outside the main one, each pair once.
-            for at in range(0, len(own), 1 << 16):
-                b = np.arange(at, min(len(own), at + (1 << 16)))
-                b = b[(label[b] != label[i]) & ((label[b] == main) | (b > i))]
-                ok = _candidates(rec, size, place, bits, np.full(len(b), i), b, t)
-                got.append((np.full(int(ok.sum()), rec[i]), rec[b[ok]], np.zeros(int(ok.sum()), np.int64)))
-    return _pair_frame(got)
+        others = np.flatnonzero(label != main)
+        # All others of another component, so many at once that they fit in memory; of two outside the main one, each pair once.
+        step = max(1, (1 << 19) // len(own))
+        for i in range(0, len(others), step):
+            x, y = np.repeat(others[i : i + step], len(own)), np.tile(np.arange(len(own)), len(others[i : i + step]))
+            ask = (label[y] != label[x]) & ((label[y] == main) | (y > x))
+            got.append(_passing(own, x[ask], y[ask], t))
+    return _found_frame(_pack_pairs(got, buckets))
 
 
-def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int = GROUP) -> list[Stage]:
+def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int = GROUP, turn_rows: int = TURN_ROWS) -> list[Stage]:
     """Links ``(a, b, sim)`` between ids whose texts have similarity ``t`` or more, up to chains of such links.
 
-    ``df``: ``id bigint, text string``, no text twice, each of ``width`` words or more.
+    ``df``: ``id bigint, text string``, no text twice, each of ``width`` words or more. Beyond ``turn_rows`` records the
+    keys are shuffled in turns, so that only a share of them is on disk at once.
     """
-    n_blocks = max(1, -(-n_rows // BLOCK_ROWS))
-    range_bits = max(4, math.ceil(math.log2(max(1, n_rows * 96 / RANGE_SHINGLES))))
+    turns = max(1, -(-n_rows // turn_rows))
+    n_blocks = max(1, -(-n_rows // min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], n_rows // 48))))
+    per_range = min(RANGE_SHINGLES[1], max(RANGE_SHINGLES[0], n_rows * 96 // 48))
+    range_bits = max(4, math.ceil(math.log2(max(1, n_rows * 96 / per_range))))
     blocks = df.select("id", "text").mapInArrow(_deal_texts(n_blocks), "block int, n int, size bigint, blob binary")
 
     def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -288,74 +342,79 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         h = h[start]
         rows = []
         for r, i, j in _ranges(h):
-            rows.append((int(pdf.block.iloc[0]), r, j - i, _zip((h[i:j] & _LOW).astype(np.uint32)), _zip(count[i:j].astype(np.uint32))))
+            rows.append((int(pdf.block.iloc[0]), r, j - i, _planes(np.diff(h[i:j] & _LOW, prepend=np.uint64(0)).astype(np.uint32)), _planes(count[i:j].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["block", "range", "n", "low", "count"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([_unzip(b, n, np.uint32) for b, n in zip(pdf.low, pdf.n, strict=True)])
-        c = np.concatenate([_unzip(b, n, np.uint32) for b, n in zip(pdf["count"], pdf.n, strict=True)])
+        low = np.concatenate([np.cumsum(_numbers(b, n, np.uint32), dtype=np.uint32) for b, n in zip(pdf.low, pdf.n, strict=True)])
+        c = np.concatenate([_numbers(b, n, np.uint32) for b, n in zip(pdf["count"], pdf.n, strict=True)])
         distinct, inverse = np.unique(low, return_inverse=True)
         total = np.bincount(inverse, weights=c, minlength=len(distinct))[inverse].astype(np.uint32)
         edge = np.r_[0, np.cumsum(pdf.n.to_numpy())]
         return pd.DataFrame({"block": pdf.block.to_numpy(), "range": pdf.range.to_numpy(), "n": pdf.n.to_numpy(), "df": [_planes(total[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]})
 
+    def prefixes(turn: int):
+        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """A block's rows by range of their key, packed: of the turn's keys."""
+            if not len(left) or not len(right):
+                return pd.DataFrame({"range": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "blob": []})
+            recs = _once(left)
+            ids, n = recs.id.to_numpy(), len(recs)
+            h, doc = _sets(recs.text.tolist(), width, range_bits)
+            right = right.sort_values("range")
+            freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(right["df"], right.n, strict=True)])
+            f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
+            keys, rows = _keys(h, doc, f, np.bincount(doc, minlength=n), t, group, 32 + range_bits)
+            if turns > 1:
+                mine = mix(keys) % np.uint64(turns) == turn
+                keys, rows = keys[mine], rows[mine]
+            rows["id"] = ids[rows["id"]]
+            found = _ranges(keys)
+            return pd.DataFrame({"range": np.array([r for r, _, _ in found], np.int32), "n": np.array([j - i for _, i, j in found], np.int32), "blob": [_pack_rows(rows[i:j]) for _, i, j in found]})
+
+        return run
+
+    def first_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _first_pairs(pdf, t, 4 * group, n_blocks)
+
     handed = blocks.groupBy("block").applyInPandas(hand_out, "block int, range int, n int, low binary, count binary")
-    counted = handed.groupBy("range").applyInPandas(count, "block int, range int, n int, df binary")
-
-    def prefixes(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Prefix shingles by range of hash, packed: low bits, record, size, place in the order, bitmap."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"range": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "blob": []})
-        recs = _once(left)
-        ids, n = recs.id.to_numpy(), len(recs)
-        h, doc = _sets(recs.text.tolist(), width, range_bits)
-        right = right.sort_values("range")
-        freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(right["df"], right.n, strict=True)])
-        f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
-        size = np.bincount(doc, minlength=n)
-        # Rarest first; equally rare shingles in the order of their hash.
-        order = np.lexsort((f, doc))
-        sh, sf, sd = h[order], f[order], doc[order]
-        place = np.arange(len(sh)) - (np.cumsum(size) - size)[sd]
-        prefix = (place < (size - _need(size, t) + _shared(size, t))[sd]) & (sf > 1)
-        frequent = prefix & (sf > group)
-        hot = np.bincount(sd[frequent], minlength=n)
-        # Frequent shingles matter to those records only that can share all they must by frequent ones.
-        prefix &= ~frequent | (hot >= _shared(np.ceil(t * size - 1e-9).astype(np.int64), t))[sd]
-        bits = _bitmaps(h, doc, n)
-        ph, pd_, pp = sh[prefix], sd[prefix], place[prefix]
-        by = np.argsort(ph, kind="stable")
-        ph, pd_, pp = ph[by], pd_[by], pp[by]
-        packed = np.zeros(len(ph), dtype=_PACKED)
-        packed["low"], packed["id"], packed["size"], packed["place"], packed["bits"] = ph & _LOW, ids[pd_], size[pd_], pp, bits[pd_]
-        packed["hot"], packed["frequent"] = np.minimum(hot, 255)[pd_], (sf > group)[prefix][by]
-        found = _ranges(ph)
-        return pd.DataFrame({"range": np.array([r for r, _, _ in found], np.int32), "n": np.array([j - i for _, i, j in found], np.int32), "blob": [_pack_rows(packed[i:j]) for _, i, j in found]})
-
-    pair_schema = "a bigint, b bigint, found int, least int"
-    staged = Stage(blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(prefixes, "range int, n int, blob binary"))
-    packed = staged.df
-    per_range = packed.groupBy("range").applyInPandas(lambda pdf: _pack_pairs(_first_pairs(pdf, t), n_blocks), "bucket int, n int, a binary, b binary, found binary, least binary")
-    found = Stage(per_range.groupBy("bucket").applyInPandas(_shared_enough, "a bigint, b bigint"))
-    links = [_verified(df, found.df.where("a <> b"), width, t)]
-    if found.df.where("a = -1 and b = -1").limit(1).count():
+    # Each is written, so that what has been shuffled for it is gone before the next.
+    counted = Stage(handed.groupBy("range").applyInPandas(count, "block int, range int, n int, df binary"))
+    firsts = []
+    for turn in range(turns):
+        packed = blocks.groupBy("block").cogroup(counted.df.groupBy("block")).applyInPandas(prefixes(turn), "range int, n int, blob binary")
+        firsts.append(Stage(packed.groupBy("range").applyInPandas(first_pairs, _FOUND)))
+    counted.drop()
+    first = firsts[0].df
+    for f in firsts[1:]:
+        first = first.unionByName(f.df)
+
+    def verified(pairs: DataFrame) -> Stage:
+        found = Stage(pairs.groupBy("bucket").applyInPandas(_distinct, "a bigint, b bigint"))
+        likely = _screened(df, found.df, width, t)
+        found.drop()
+        out = _verified(df, likely.df, width, t)
+        likely.drop()
+        return out
+
+    links = [verified(first.where("bucket >= 0").select("bucket", "n", "a", "b"))]
+    many = first.where("bucket = -1").select("range", "n", "blob")
+    if many.limit(1).count():
         forest, cuts = boruvka(links[0].df, (0.0,))
-        empty = df.sparkSession.createDataFrame([], "id bigint, label bigint")
-        labels = cuts[0].df if cuts else empty
+        labels = cuts[0].df if cuts else df.sparkSession.createDataFrame([], "id bigint, label bigint")
         # The records of a range, with what they are linked to so far.
-        in_range = packed.select("range", "n", "blob")
-        who = in_range.mapInPandas(_record_ranges, "range int, id bigint").distinct().join(labels, "id").select("range", "id", "label")
+        who = many.mapInPandas(_record_ranges, "range int, id bigint").distinct().join(labels, "id").select("range", "id", "label")
 
         def cross(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _cross_pairs(left, right, t)
+            return _cross_pairs(left, right, t, n_blocks)
 
-        more = Stage(in_range.groupBy("range").cogroup(who.groupBy("range")).applyInPandas(cross, pair_schema).select("a", "b").distinct())
-        links.append(_verified(df, more.df, width, t))
+        more = Stage(many.groupBy("range").cogroup(who.groupBy("range")).applyInPandas(cross, _FOUND))
+        links.append(verified(more.df.select("bucket", "n", "a", "b")))
         more.drop()
         for s in (*forest, *cuts):
             s.drop()
-    found.drop()
-    staged.drop()
+    for f in firsts:
+        f.drop()
     return links
 
 
@@ -366,6 +425,54 @@ def _record_ranges(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"range": np.full(len(ids), r, np.int32), "id": ids})
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """A bitmap of a set, of 64 bytes and more for large sets; every four bits of a larger one are a bit of the next smaller."""
+    bits = 9 + 2 * int(np.searchsorted((171, 683, 2731), len(h), side="right"))
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    out[(mix(h) >> np.uint64(64 - bits)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) in ``width`` bytes."""
+    if bits.shape[1] == width:
+        return bits
+    return np.packbits(np.unpackbits(bits, axis=1).reshape(len(bits), width * 8, -1).any(axis=2), axis=1)
+
+
+def _screened(df: DataFrame, pairs: DataFrame, width: int, t: float) -> Stage:
+    """Candidate pairs without those that small bitmaps of the whole sets rule out, so that few whole sets are shuffled."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, doc = shingle_sets(batch.column(1).to_pylist(), width)
+            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edge).astype(np.int32)), pa.array([_sketch(h[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["id", "n", "bits"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            lx, ly = np.array([len(i) for i in x], np.int64), np.array([len(i) for i in y], np.int64)
+            common = np.zeros(batch.num_rows, dtype=np.int64)
+            for kind in np.unique(lx << 32 | ly):
+                at = np.flatnonzero((lx << 32 | ly) == kind)
+                small = min(int(lx[at[0]]), int(ly[at[0]]))
+                p, q = (_fold(np.frombuffer(b"".join(z[i] for i in at), np.uint8).reshape(len(at), -1), small) for z in (x, y))
+                only_p, only_q = (np.bitwise_count(u & ~v).sum(axis=1).astype(np.int64) for u, v in ((p, q), (q, p)))
+                common[at] = np.minimum(na[at] - only_p, nb[at] - only_q)
+            keep = pa.array(np.flatnonzero(common >= np.ceil(t / (1 + t) * (na + nb) - 1e-9)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    ends = Stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    drawn = Stage(df.join(hinted(ends), "id", "left_semi").mapInArrow(draw, "id bigint, n int, bits binary").dropDuplicates(["id"]))
+    ends.drop()
+    left, right = (drawn.df.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
+    out = Stage(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(screen, "a bigint, b bigint"))
+    drawn.drop()
+    return out
+
+
 def _verified(df: DataFrame, pairs: DataFrame, width: int, t: float) -> Stage:
     """Of candidate pairs those whose whole sets are similar enough; each pair is looked at once."""
 
@@ -390,9 +497,12 @@ def _verified(df: DataFrame, pairs: DataFrame, width: int, t: float) -> Stage:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(sim).take(keep)], names=["a", "b", "sim"])
 
     ends = Stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = Stage(df.join(hinted(ends), "id", "left_semi").mapInArrow(pack_sets, "id bigint, set binary").dropDuplicates(["id"])).df
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return Stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint, sim float"))
+    sets = Stage(df.join(hinted(ends), "id", "left_semi").mapInArrow(pack_sets, "id bigint, set binary").dropDuplicates(["id"]))
+    ends.drop()
+    left, right = sets.df.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.df.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    out = Stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint, sim float"))
+    sets.drop()
+    return out
 
 
 def embedding_links(df: DataFrame, dim: int, cosine: float, part_rows: int = 8192) -> Stage:
