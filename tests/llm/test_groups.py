@@ -170,6 +170,45 @@ def test_pairs_of_unrelated_records_stay_where_they_are_found(spark, monkeypatch
     assert max(sizes) < len(texts)
 
 
+@pytest.mark.parametrize("t", [0.5, 0.7])
+def test_rows_are_wanted_if_one_of_their_key_fits(t):
+    rng = np.random.default_rng(6)
+    rows = np.zeros(3000, dtype=neardup._ASKED)
+    rows["low"], rows["own"], rows["top"] = rng.integers(0, 700, 3000), rng.integers(1, 30, 3000), rng.integers(0, 3, 3000) == 0
+    rows["room"] = 1 + rng.integers(0, 30, 3000) % rows["own"]
+    want = np.zeros(3000, bool)
+    for i, (low, own, room, top) in enumerate(rows.tolist()):
+        for j in np.flatnonzero(rows["low"] == low):
+            other = rows[j]
+            fits = min(room, other["room"]) >= np.ceil(t / (1 + t) * (own + int(other["own"])) - 1e-9)
+            want[i] |= i != j and fits and bool(top or other["top"])
+    assert (neardup._wanted(rows, t) == want).all()
+    assert 20 < want.sum() < 1500 and not len(neardup._wanted(rows[:0], t))
+
+
+def test_sequences_shared_by_chance_are_shuffled_small(spark):
+    """Nearly all sequences stand in other records too; what is shuffled to rule their records out is a few bytes each."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 90, 90)) for _ in range(12_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(4)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled() -> dict[tuple[int, int], int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {((x := stages.apply(i)).stageId(), x.attemptId()): x.shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    for s in neardup.content_links(df, len(texts), 3, 0.5):
+        assert not s.df.count()
+        s.drop()
+    after = shuffled()
+    h, _ = shingle_sets(texts, 3)
+    _, many = np.unique(h, return_counts=True)
+    assert many[many > 1].sum() > 0.7 * len(h)
+    assert max(v for k, v in after.items() if k not in before) < 0.85 * sum(map(len, texts))
+
+
 def test_screen_keeps_similar_sets():
     rng = np.random.default_rng(8)
     for size in (3, 60, 171, 500, 690, 3000):

@@ -4,7 +4,10 @@ The shingles of a record are dealt to parts by a hash, ``4 ** c`` of them, where
 larger set of a pair. Two sets of similarity ``t`` have a part in which they are at least as similar (a ratio of sums
 is at most the largest of the ratios). So records are compared part by part: shingles are ordered rarest first, by their
 document frequency over the whole table, and two parts of similarity ``t`` share one in their prefixes of
-``n - ceil(t n) + 1``. Only prefix shingles that occur in two records or more are joined. A pair of them passes the
+``n - ceil(t n) + 1``. Only prefix shingles that occur in two records or more are joined, and of these only rows that
+another row of the key can go with: what is left of both parts from the key on, when the key is the first shingle they
+share, must suffice for the overlap they need, and one of the records must be of the class. A round before tells that
+from three small numbers a row, so bitmaps and ids are shuffled for few of the shingles shared by chance. A pair passes the
 length filter and the bitmap filter (a bitmap of the part, wide for its few shingles, bounds how many can be common),
 both before it leaves the task that found it. The few pairs left are verified once each, on the whole sets.
 
@@ -151,9 +154,11 @@ def _group_pairs(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return a, a + 1 + step
 
 
-_NUMBERS = ("low", "id", "own")
 #: Key (24 bits of it in its range: what meets by chance is ruled out by the bitmap), record, size of its part, bitmap of the part.
 _PACKED = np.dtype([("low", "<u4"), ("id", "<i8"), ("own", "<u4"), ("bits", "u1", (BITMAP // 8,))])
+#: Key, size of the part, how many shingles it has in common at most with a part if the key is the first, whether the record is of the key's class.
+_ASKED = np.dtype([("low", "<u4"), ("own", "<u4"), ("room", "<u4"), ("top", "u1")])
+_KEYED = np.dtype([*_PACKED.descr, *_ASKED.descr[2:]])
 
 
 def _ranges(h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -168,31 +173,36 @@ def _class(size: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2((np.maximum(size, 1) + 0.5) / WHOLE) / 2).clip(0).astype(np.int64)
 
 
-def _pack_rows(rows: np.ndarray) -> bytes:
+def _pack_rows(rows: np.ndarray, kind: np.dtype = _PACKED) -> bytes:
     """Compressed by column, of ascending keys the steps; the bytes of numbers lie apart, so their leading zeros cost nothing."""
-    columns = [np.diff(rows["low"], prepend=np.uint32(0)).astype("<u4"), *[rows[c] for c in _NUMBERS[1:]]]
-    return _zip(np.frombuffer(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns) + rows["bits"].tobytes(), dtype=np.uint8))
-
-
-def _unpack_rows(blob: bytes, n: int) -> np.ndarray:
-    raw, at = _unzip(blob, n * _PACKED.itemsize, np.uint8), 0
-    rows = np.zeros(n, dtype=_PACKED)
-    for c in _NUMBERS:
-        w = _PACKED[c].itemsize
-        rows[c] = np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(_PACKED[c]).ravel()
+    columns = []
+    for c in kind.names:
+        x = np.diff(rows[c], prepend=np.uint32(0)).astype("<u4") if c == "low" else np.ascontiguousarray(rows[c])
+        x = x.view(np.uint8).reshape(len(rows), -1)
+        columns.append((x if c == "bits" else x.T).tobytes())
+    return _zip(np.frombuffer(b"".join(columns), dtype=np.uint8))
+
+
+def _unpack_rows(blob: bytes, n: int, kind: np.dtype = _PACKED) -> np.ndarray:
+    raw, at = _unzip(blob, n * kind.itemsize, np.uint8), 0
+    rows = np.zeros(n, dtype=kind)
+    for c in kind.names:
+        w = kind[c].itemsize
+        x = raw[at : at + n * w]
+        rows[c] = x.reshape(n, w) if c == "bits" else np.ascontiguousarray(x.reshape(w, n).T).view(kind[c]).ravel()
         at += n * w
     rows["low"] = np.cumsum(rows["low"], dtype=np.uint32)
-    rows["bits"] = raw[at:].reshape(n, -1)
     return rows
 
 
-def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: float, group: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: float, group: int, bits: int, drawn: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Keys of ``bits`` bits under which records are compared, ascending, and their rows (``id``: the record's place).
 
     ``h``, ``doc``, ``f``: shingles by record, ascending within one, and their document frequencies; ``size`` of every record.
+    ``drawn``: with bitmaps.
     """
     least, most = _class(size), _class(np.floor(size / t + 1e-9))
-    out_key, out = [np.zeros(0, np.uint64)], [np.zeros(0, _PACKED)]
+    out_key, out = [np.zeros(0, np.uint64)], [np.zeros(0, _KEYED)]
     for c in range(int(most.max(initial=-1)) + 1):
         mine = ((least <= c) & (c <= most))[doc]
         sh, sd, sf = h[mine], doc[mine], f[mine]
@@ -208,7 +218,7 @@ def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: fl
         which = np.repeat(np.arange(len(start)), sizes)
         own, place = sizes[which], np.arange(len(sh)) - start[which]
         need = _need(own, t)
-        maps = _bitmaps(sh, which, len(start))
+        maps = _bitmaps(sh, which, len(start)) if drawn else None
         frequent = sf > group
         first = place < own - need + 1
         single = first & ((sf > 1) & ~frequent)
@@ -219,10 +229,13 @@ def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: fl
         run = np.flatnonzero(np.r_[True, which[twice][1:] != which[twice][:-1]]) if len(twice) else np.zeros(0, np.int64)
         x, y = _group_pairs(run, np.diff(np.r_[run, len(twice)]).astype(np.int64))
         x, y = twice[x], twice[y]
-        salted = np.uint64(3 * c)
-        for at, key in ((single, sh[single] if not c else mix(sh[single] + salted * _ODD)), (tiny, mix(sh[tiny] + (salted + np.uint64(1)) * _ODD)), (x, mix(mix(sh[x] + (salted + np.uint64(2)) * _ODD) + sh[y]))):
-            rows = np.zeros(len(at), dtype=_PACKED)
-            rows["id"], rows["own"], rows["bits"] = sd[at], own[at], maps[which[at]]
+        salted, room = np.uint64(3 * c), own - place
+        # Before the second of two shingles there is the first.
+        for at, key, left in ((single, sh[single] if not c else mix(sh[single] + salted * _ODD), room[single]), (tiny, mix(sh[tiny] + (salted + np.uint64(1)) * _ODD), room[tiny]), (x, mix(mix(sh[x] + (salted + np.uint64(2)) * _ODD) + sh[y]), room[y] + 1)):
+            rows = np.zeros(len(at), dtype=_KEYED)
+            rows["id"], rows["own"], rows["room"], rows["top"] = sd[at], own[at], left, least[sd[at]] == c
+            if drawn:
+                rows["bits"] = maps[which[at]]
             out.append(rows)
             out_key.append(key & np.uint64((1 << bits) - 1))
     key, rows = np.concatenate(out_key), np.concatenate(out)
@@ -232,6 +245,36 @@ def _keys(h: np.ndarray, doc: np.ndarray, f: np.ndarray, size: np.ndarray, t: fl
     return key, rows
 
 
+def _wanted(rows: np.ndarray, t: float) -> np.ndarray:
+    """Which rows (``_ASKED``) have another of their key that they can be similar to, by sizes, room and class; no pairs are formed.
+
+    Rows ``a`` and ``b`` can be similar if the room of both is at least ``t / (1 + t)`` times their sizes' sum: if the
+    size of ``b`` is at most the reach of ``a``, and the other way round. So the largest reach of the rows up to a size tells.
+    """
+    if not len(rows):
+        return np.zeros(0, dtype=bool)
+    order = np.lexsort((rows["own"], rows["low"]))
+    low, own, top = rows["low"][order], rows["own"][order].astype(np.int64), rows["top"][order].astype(bool)
+    reach = np.clip(np.floor(rows["room"][order] * ((1 + t) / t) + 1e-6).astype(np.int64) - own, 0, (1 << 31) - 1)
+    # Rising from key to key, so that no maximum reaches into the next one.
+    base = np.cumsum(np.r_[False, low[1:] != low[:-1]]).astype(np.int64) << 31
+
+    def largest(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest and second largest reach of the rows ``who`` whose size is within reach, for every row."""
+        most = np.maximum.accumulate(np.r_[-1, (base + reach)[who]])
+        second = np.maximum.accumulate(np.r_[-1, np.minimum((base + reach)[who], most[:-1])])
+        at = np.searchsorted((base + own)[who], base + reach, side="right")
+        return most[at], second[at]
+
+    most, second = largest(np.arange(len(rows)))
+    # A row within its own reach is one of those that reach it.
+    fits = np.where(reach >= own, second, most) >= base + own
+    fits &= top | (largest(np.flatnonzero(top))[0] >= base + own)
+    out = np.zeros(len(rows), dtype=bool)
+    out[order] = fits
+    return out
+
+
 def _group_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed rows ordered by shingle, size and id; start and size of every shingle's group."""
     rows = np.concatenate([_unpack_rows(b, n) for b, n in zip(pdf.blob, pdf.n, strict=True)]) if len(pdf) else np.zeros(0, _PACKED)
@@ -322,11 +365,19 @@ def _cross_pairs(groups: pd.DataFrame, labels: pd.DataFrame, t: float, buckets:
     return _found_frame(_pack_pairs(got, buckets))
 
 
+def _answers(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    """To the rows of one range, block by block: which of them are wanted."""
+    rows = np.concatenate([_unpack_rows(b, n, _ASKED) for b, n in zip(pdf.blob, pdf.n, strict=True)])
+    edge = np.r_[0, np.cumsum(pdf.n.to_numpy())]
+    wanted = _wanted(rows, t)
+    return pdf[["block", "range", "n"]].assign(wanted=[_zip(np.packbits(wanted[i:j])) for i, j in zip(edge[:-1], edge[1:], strict=True)])
+
+
 def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int = GROUP, turn_rows: int = TURN_ROWS) -> list[Stage]:
     """Links ``(a, b, sim)`` between ids whose texts have similarity ``t`` or more, up to chains of such links.
 
     ``df``: ``id bigint, text string``, no text twice, each of ``width`` words or more. Beyond ``turn_rows`` records the
-    keys are shuffled in turns, so that only a share of them is on disk at once.
+    keys' whole rows are shuffled in turns, so that only a share of them is on disk at once.
     """
     turns = max(1, -(-n_rows // turn_rows))
     n_blocks = max(1, -(-n_rows // min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], n_rows // 48))))
@@ -353,21 +404,38 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         edge = np.r_[0, np.cumsum(pdf.n.to_numpy())]
         return pd.DataFrame({"block": pdf.block.to_numpy(), "range": pdf.range.to_numpy(), "n": pdf.n.to_numpy(), "df": [_planes(total[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]})
 
+    def keyed(left: pd.DataFrame, counts: pd.DataFrame, drawn: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of a block's records, their rows, and the records' ids."""
+        recs = _once(left)
+        h, doc = _sets(recs.text.tolist(), width, range_bits)
+        counts = counts.sort_values("range")
+        freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(counts["df"], counts.n, strict=True)])
+        f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
+        return *_keys(h, doc, f, np.bincount(doc, minlength=len(recs)), t, group, 32 + range_bits, drawn), recs.id.to_numpy()
+
+    def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """A block's rows by range of their key, without what tells records apart."""
+        if not len(left) or not len(right):
+            return pd.DataFrame({"block": np.zeros(0, np.int32), "range": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "blob": []})
+        keys, rows, _ = keyed(left, right, False)
+        found = _ranges(keys)
+        return pd.DataFrame({"block": np.full(len(found), left.block.iloc[0], np.int32), "range": np.array([r for r, _, _ in found], np.int32), "n": np.array([j - i for _, i, j in found], np.int32), "blob": [_pack_rows(rows[i:j], _ASKED) for _, i, j in found]})
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _answers(pdf, t)
+
     def prefixes(turn: int):
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            """A block's rows by range of their key, packed: of the turn's keys."""
-            if not len(left) or not len(right):
+            """A block's rows by range of their key, packed: of the turn's keys, those that are wanted."""
+            told = right.wanted.notna()
+            if not len(left) or not told.any():
                 return pd.DataFrame({"range": np.zeros(0, np.int32), "n": np.zeros(0, np.int32), "blob": []})
-            recs = _once(left)
-            ids, n = recs.id.to_numpy(), len(recs)
-            h, doc = _sets(recs.text.tolist(), width, range_bits)
-            right = right.sort_values("range")
-            freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(right["df"], right.n, strict=True)])
-            f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
-            keys, rows = _keys(h, doc, f, np.bincount(doc, minlength=n), t, group, 32 + range_bits)
+            keys, rows, ids = keyed(left, right[~told], True)
+            told = right[told].sort_values("range")
+            mine = np.concatenate([np.unpackbits(_unzip(b, -(-n // 8), np.uint8), count=n) for b, n in zip(told.wanted, told.n, strict=True)]).astype(bool)
             if turns > 1:
-                mine = mix(keys) % np.uint64(turns) == turn
-                keys, rows = keys[mine], rows[mine]
+                mine &= mix(keys) % np.uint64(turns) == turn
+            keys, rows = keys[mine], rows[mine]
             rows["id"] = ids[rows["id"]]
             found = _ranges(keys)
             return pd.DataFrame({"range": np.array([r for r, _, _ in found], np.int32), "n": np.array([j - i for _, i, j in found], np.int32), "blob": [_pack_rows(rows[i:j]) for _, i, j in found]})
@@ -380,11 +448,15 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
     handed = blocks.groupBy("block").applyInPandas(hand_out, "block int, range int, n int, low binary, count binary")
     # Each is written, so that what has been shuffled for it is gone before the next.
     counted = Stage(handed.groupBy("range").applyInPandas(count, "block int, range int, n int, df binary"))
+    asked = blocks.groupBy("block").cogroup(counted.df.groupBy("block")).applyInPandas(ask, "block int, range int, n int, blob binary")
+    answered = Stage(asked.groupBy("range").applyInPandas(answer, "block int, range int, n int, wanted binary"))
+    told = counted.df.unionByName(answered.df, allowMissingColumns=True)
     firsts = []
     for turn in range(turns):
-        packed = blocks.groupBy("block").cogroup(counted.df.groupBy("block")).applyInPandas(prefixes(turn), "range int, n int, blob binary")
+        packed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(prefixes(turn), "range int, n int, blob binary")
         firsts.append(Stage(packed.groupBy("range").applyInPandas(first_pairs, _FOUND)))
     counted.drop()
+    answered.drop()
     first = firsts[0].df
     for f in firsts[1:]:
         first = first.unionByName(f.df)
