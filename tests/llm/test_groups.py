@@ -186,6 +186,11 @@ def test_rows_are_wanted_if_one_of_their_key_fits(t):
     assert 20 < want.sum() < 1500 and not len(neardup._wanted(rows[:0], t))
 
 
+def test_values_of_distinct_hashes_are_spread():
+    h = np.random.default_rng(8).integers(0, 300, 2000).astype(np.uint64)
+    assert (neardup._spread(h, np.unique(h) * np.uint64(3)) == 3 * h).all() and not len(neardup._spread(h[:0], h[:0]))
+
+
 def test_sequences_shared_by_chance_are_shuffled_small(spark):
     """Nearly all sequences stand in other records too; what is shuffled to rule their records out is a few bytes each."""
     rng = np.random.default_rng(7)

@@ -168,6 +168,15 @@ def _ranges(h: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(r[start].tolist(), start.tolist(), np.r_[start[1:], len(r)].tolist(), strict=False))
 
 
+def _spread(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For every hash the value of it, of values in the order of the distinct hashes (sorting is quicker here than ``np.unique``)."""
+    order = np.argsort(h)
+    new = np.r_[True, h[order[1:]] != h[order[:-1]]][: len(h)]
+    out = np.empty(len(h), dtype=values.dtype)
+    out[order] = values[np.cumsum(new) - 1]
+    return out
+
+
 def _class(size: np.ndarray) -> np.ndarray:
     """Class of a set's size: sets of class ``c`` have ``4 ** c`` parts."""
     return np.ceil(np.log2((np.maximum(size, 1) + 0.5) / WHOLE) / 2).clip(0).astype(np.int64)
@@ -410,7 +419,7 @@ def content_links(df: DataFrame, n_rows: int, width: int, t: float, group: int =
         h, doc = _sets(recs.text.tolist(), width, range_bits)
         counts = counts.sort_values("range")
         freq = np.concatenate([_numbers(b, m, np.uint32) for b, m in zip(counts["df"], counts.n, strict=True)])
-        f = freq[np.searchsorted(np.unique(h), h)].astype(np.int64)
+        f = _spread(h, freq).astype(np.int64)
         return *_keys(h, doc, f, np.bincount(doc, minlength=len(recs)), t, group, 32 + range_bits, drawn), recs.id.to_numpy()
 
     def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
